@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import langid, mixing, quality, sharding
 from .common import load
 
 
 def queries() -> dict:
     return {
+        "op1_langid": lambda s, d: langid.query(s, load(s, d, "documents")),
+        "op9_quality": lambda s, d: quality.query(s, load(s, d, "documents"), load(s, d, "labels")),
         "op3_sharding": lambda s, d: sharding.query(s, load(s, d, "documents")),
         "op10_mixing": lambda s, d: mixing.query(s, load(s, d, "documents")),
     }
