@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, sharding
+from . import chat, langid, mixing, quality, sharding
 from .common import load
 
 
 def queries() -> dict:
     return {
         "op1_langid": lambda s, d: langid.query(s, load(s, d, "documents")),
+        "op2_chat": lambda s, d: chat.query(s, load(s, d, "conversations")),
         "op9_quality": lambda s, d: quality.query(s, load(s, d, "documents"), load(s, d, "labels")),
         "op3_sharding": lambda s, d: sharding.query(s, load(s, d, "documents")),
         "op10_mixing": lambda s, d: mixing.query(s, load(s, d, "documents")),
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle(), "op10_mixing": mixing.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op3_sharding": sharding.oracle(), "op10_mixing": mixing.ORACLE}
