@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, quality, sharding
+from . import chat, langid, minhash, mixing, quality, sharding
 from .common import load
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_langid": lambda s, d: langid.query(s, load(s, d, "documents")),
         "op2_chat": lambda s, d: chat.query(s, load(s, d, "conversations")),
+        "op4_minhash": lambda s, d: minhash.query(s, load(s, d, "documents")),
         "op9_quality": lambda s, d: quality.query(s, load(s, d, "documents"), load(s, d, "labels")),
         "op3_sharding": lambda s, d: sharding.query(s, load(s, d, "documents")),
         "op10_mixing": lambda s, d: mixing.query(s, load(s, d, "documents")),
