@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, minhash, mixing, quality, sharding, suffix_dedup
+from . import ann, chat, html_extract, langid, minhash, mixing, quality, sentencepiece_ops, sharding, suffix_dedup
 from .common import load
 
 
@@ -11,6 +11,9 @@ def queries() -> dict:
         "op1_langid": lambda s, d: langid.query(s, load(s, d, "documents")),
         "op2_chat": lambda s, d: chat.query(s, load(s, d, "conversations")),
         "op4_minhash": lambda s, d: minhash.query(s, load(s, d, "documents")),
+        "op5_sentencepiece": lambda s, d: sentencepiece_ops.query(s, load(s, d, "documents")),
+        "op6_html": lambda s, d: html_extract.query(s, load(s, d, "pages")),
+        "op7_ann": lambda s, d: ann.query(s, load(s, d, "embeddings")),
         "op8_suffix_dedup": lambda s, d: suffix_dedup.query(s, load(s, d, "documents")),
         "op9_quality": lambda s, d: quality.query(s, load(s, d, "documents"), load(s, d, "labels")),
         "op3_sharding": lambda s, d: sharding.query(s, load(s, d, "documents")),
