@@ -169,7 +169,9 @@ def windows_of(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, rows, filled
 
 
-def predictor(network: Network | None, keep: list[str], least: float | None):
+def predictor(network: Network | None, keep: list[str], least: float | None = None):
+    """least None: predictions beside the kept columns; else the kept columns of the rows that have a language and that score."""
+
     def run(batches):
         tables = network.tables() if network else None
         langs = np.array([*(network.langs if network else []), UNKNOWN], dtype=object)
@@ -186,8 +188,10 @@ def predictor(network: Network | None, keep: list[str], least: float | None):
                     total = np.stack([np.bincount(rows, p[:, k], end - row) for k in range(p.shape[1])], 1) / np.maximum(np.bincount(rows, filled, end - row), 1)[:, None]
                     best[row:end], score[row:end] = total.argmax(1), total.max(1)
                 best[~lettered], score[~lettered] = len(langs) - 1, 0
-            out = pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(langs[best], pa.string()), pa.array(np.clip(score, 0, 1))], [*keep, "lang_pred", "score"])
-            yield out if least is None else out.filter(pa.array((best < len(langs) - 1) & (score >= least)))
+            if least is None:
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(langs[best], pa.string()), pa.array(np.clip(score, 0, 1))], [*keep, "lang_pred", "score"])
+            else:
+                yield batch.select(keep).filter(pa.array((best < len(langs) - 1) & (score >= least)))
 
     return run
 
@@ -198,16 +202,27 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
     return Network(langs).train(windows, labels) if langs else None
 
 
-def identify(docs: DataFrame, network: Network | None, keep: list[str], least: float | None = None) -> DataFrame:
-    """The kept columns plus lang_pred string and score double (0 to 1) of each text; least: only rows of a language and at least that score.
+def _given(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter")
+    kinds = dict(docs.dtypes)
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], letter), ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+
+
+def identify(docs: DataFrame, network: Network | None, keep: list[str]) -> DataFrame:
+    """The kept columns plus lang_pred string and score double (0 to 1) of each text, a row for each row.
 
-    Texts that are null or have no letter are `und` with score 0. Repeated rows are predicted each. Columns named
-    lang_pred or score are replaced.
+    Texts that are null or have no letter are `und` with score 0, and so are all texts where there is no network. Repeated
+    rows are predicted each. Columns named lang_pred or score are replaced.
     """
     keep = [c for c in keep if c.lower() not in {"lang_pred", "score"}]
-    given = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    kinds = dict(given.dtypes)
-    return given.mapInArrow(predictor(network, keep, least), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    given, schema = _given(docs, keep)
+    return given.mapInArrow(predictor(network, keep), f"{schema}, lang_pred string, score double")
+
+
+def accept(docs: DataFrame, network: Network | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs, unchanged, that have a language with at least that score."""
+    given, schema = _given(docs, docs.columns)
+    return given.mapInArrow(predictor(network, docs.columns, least), schema)
 
 
 def query(spark, docs: DataFrame) -> DataFrame:

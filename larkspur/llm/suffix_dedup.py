@@ -255,8 +255,8 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
 
 
-def remover(keep: list[str], digest: bool):
-    """Each row with its repeats cut out."""
+def remover(keep: list[str], output: str):
+    """Each row with its repeats cut out. In kept_text a character that a cut went through is dropped."""
 
     def run(batches):
         for batch in batches:
@@ -283,23 +283,25 @@ def remover(keep: list[str], digest: bool):
                 spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 texts.append(own[~gone].tobytes())
             made = {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
-            if digest:
-                made["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
+            if output == "kept_sha256":
+                made[output] = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
+            elif output == "kept_text":
+                made[output] = pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string())
             else:
-                made["kept_bytes"] = pa.array(texts, pa.binary())
+                made[output] = pa.array(texts, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + list(made.values()), [*keep, *made])
 
     return run
 
 
-def dedup(docs: DataFrame, tables: Tables, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
-    """The kept columns (None: all but text) plus n_bytes, n_removed, n_spans and kept_bytes binary (digest: kept_sha256 string), a row for each row.
+def dedup(docs: DataFrame, tables: Tables, keep: list[str] | None = None, output: str = "kept_bytes") -> DataFrame:
+    """The kept columns (None: all but text) plus n_bytes, n_removed, n_spans and the output (kept_bytes, kept_text or kept_sha256), a row for each row.
 
     A null text is empty. Texts under LENGTH bytes lose nothing. Rows that repeat a doc_id are one document: starts at the same byte of it
     are not earlier than each other. Null doc_ids are one document before all others. No rows in, no rows out. Columns named
     like an added one are replaced.
     """
-    made = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "runs", "wanted", "doc", "text"}
+    made = {"n_bytes", "n_removed", "n_spans", output, "runs", "wanted", "doc", "text"}
     keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in made]
     rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "doc_id", "text"])])
     found = rows.select("doc_id", "text").mapInArrow(scan, "anchor long, whole long, doc long, start int, count smallint, open boolean")
@@ -311,11 +313,11 @@ def dedup(docs: DataFrame, tables: Tables, keep: list[str] | None = None, digest
     runs = met.where("classes = 0").select("doc", "start", F.col("count").cast("int").alias("count")).unionByName(compared)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     kinds = dict(docs.dtypes)
-    last = "kept_sha256 string" if digest else "kept_bytes binary"
+    last = f"{output} {'binary' if output == 'kept_bytes' else 'string'}"
     return named.join(runs, "doc", "left").select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], "runs").mapInArrow(
-        remover(keep, digest), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long", last])
+        remover(keep, output), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long", last])
     )
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
-    return dedup(docs, Tables(spark, "suffix"), ["doc_id"], digest=True)
+    return dedup(docs, Tables(spark, "suffix"), ["doc_id"], "kept_sha256")
