@@ -5,16 +5,18 @@ value, in round COORDINATES + b all elements go to bin b; a bin keeps the least
 bins are filled, so every coordinate is filled after at most twice as many rounds as there are bins, usually two or three.
 
 Links. Documents of equal sets are one node. Nodes that agree on all coordinates of a band share a bucket. In a bucket the
-smallest node is compared with all others, by their full sets; then only nodes that are not yet in the bucket's largest
-component are compared, CENTRES of them at a time, with the nodes of other components. So no bucket is expanded into all
-its pairs, yet any two nodes that shared a bucket are compared or already connected when it ends.
+smallest node is compared with all others, by their full sets, and components are formed. Where a bucket then holds several
+components, the nodes outside its largest one are compared with all of its nodes: in a bucket of at most FEW nodes as pairs, in a larger one in
+blocks, where a product of incidence matrices counts the shared shingles of all pairs of two blocks and only links that join
+components are given out. So no large bucket is expanded into pairs, yet any two nodes that shared a bucket are compared
+or already connected.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as X
@@ -23,9 +25,13 @@ from .components import components
 
 SHINGLE = 5
 COORDINATES = 128
-#: Nodes of one bucket that are compared with the rest in one round, and pairs of one centre that one group of a task handles.
-CENTRES = 64
+#: Pairs of one centre that one group of a task handles.
 PAIRS_A_GROUP = 256
+#: Nodes of a bucket whose pairs may be rows; nodes and shingles of a block, about; columns of a matrix product.
+FEW = 16
+BLOCK_NODES = 1024
+BLOCK_SHINGLES = 1_000_000
+COLUMNS = 4096
 _FULL = np.uint64(2**64 - 1)
 
 
@@ -182,8 +188,9 @@ def link(docs: DataFrame, tables: Tables, percent: int = 80) -> DataFrame:
     rows = band_rows(percent)
     sketched = tables.cut(docs.mapInArrow(sketcher(rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
     in_play = sketched.where("n_shingles > 0 and doc_id is not null")
-    nodes = in_play.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    bands = in_play.join(nodes.select("node"), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
+    nodes = tables.cut(in_play.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    bands = nodes.select("node", "n", F.explode("bands").alias("key"))
+    nodes = nodes.select("h1", "h2", "node")
     shared = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("k"), F.col("c.node").alias("u"), F.col("c.n").alias("m"))
     buckets = tables.cut(bands.join(shared, F.col("key") == F.col("k")).where(F.col("node") != F.col("u")).select("key", "node", "n", "u", "m"))
     labels = None
@@ -203,28 +210,86 @@ def link(docs: DataFrame, tables: Tables, percent: int = 80) -> DataFrame:
 def _connect(left: DataFrame, texts: DataFrame, pairs: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """(node, label). left: the nodes of each bucket that are still to be compared with each other; pairs: those to compare first."""
     edges = tables.cut(verified(pairs, texts, percent))
-    tested = pairs
-    while True:
-        labels = components(edges, tables)
-        named = left.join(labels.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main")).where("labels > 1").select(F.col("key").alias("k"), "main")
-        left = tables.cut(named.join(mixed, F.col("key") == F.col("k")).select("key", "node", "n", "label", "main"))
-        if left.isEmpty():
-            return labels
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        centres = left.where("label <> main").withColumn("r", rank).where(F.col("r") <= CENTRES).select(F.col("key").alias("k"), F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-        centres = tables.cut(centres)
-        fresh = (
-            left.join(centres, (F.col("key") == F.col("k")) & (F.col("label") != F.col("xl")) & near("n", "xn", percent))
-            .select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct()
-            .join(tested.select(F.least("u", "v").alias("tu"), F.greatest("u", "v").alias("tv")), (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti")
-        )
-        fresh = tables.cut(fresh)
-        tested = tested.unionByName(fresh)
-        left = left.join(centres, (F.col("key") == F.col("k")) & (F.col("node") == F.col("x")), "left_anti").select("key", "node", "n")
-        if not fresh.isEmpty():
-            edges = edges.unionByName(tables.cut(verified(fresh, texts, percent)))
+    labels = components(edges, tables)
+    named = left.join(labels.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("size"), F.sum("s").alias("total"), F.max(F.struct("c", "s", "label")).alias("m")).where("labels > 1")
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK_NODES), F.ceil(s / BLOCK_SHINGLES))
+    mixed = mixed.select(F.col("key").alias("k"), "size", F.col("m.label").alias("main"), blocks(F.col("size") - F.col("m.c"), F.col("total") - F.col("m.s")).alias("minor"), blocks(F.col("size"), F.col("total")).alias("whole"))
+    left = tables.cut(named.join(mixed, F.col("key") == F.col("k")).drop("k"))
+    few = left.where(F.col("size") <= FEW)
+    other = few.select(F.col("key").alias("k"), F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
+    fresh = few.join(other, (F.col("key") == F.col("k")) & (F.col("node") < F.col("x")) & (F.col("label") != F.col("xl")) & near("n", "xn", percent)).select(F.col("node").alias("u"), F.col("x").alias("v")).distinct()
+    fresh = tables.cut(fresh.join(pairs.select(F.col("u").alias("tu"), F.col("v").alias("tv")), (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti"))
+    more = tables.cut(verified(fresh, texts, percent).unionByName(_in_blocks(left.where(F.col("size") > FEW), texts, percent)))
+    return labels if more.isEmpty() else components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more), tables)
+
+
+def _in_blocks(crowds: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components of each bucket: every block of nodes outside the main component meets every block of the bucket."""
+    place = lambda n: F.pmod(F.xxhash64(F.lit("block"), "node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    minor = crowds.where("label <> main").select("key", place("minor").alias("a"), every("whole").alias("b"), F.lit(0).alias("side"), "node", "label")
+    whole = crowds.select("key", every("minor").alias("a"), place("whole").alias("b"), F.lit(1).alias("side"), "node", "label")
+    rows = minor.unionByName(whole).join(texts, F.col("node") == F.col("doc_id")).select("key", "a", "b", "side", "label", "text")
+    return rows.groupBy("key", "a", "b").applyInArrow(block_links(percent), "u long, v long")
+
+
+def block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        side, label = np.asarray(table.column("side")), np.asarray(table.column("label"))
+        column = table.column("text").combine_chunks()
+        values, bounds = shingle_sets(*_rebased(column))
+        size = np.diff(bounds)
+        owner = X.rows_of(bounds)
+        _, token = np.unique(values, return_inverse=True)
+        first = side[owner] == 0
+        both = np.intersect1d(token[first], token[~first])
+        new = np.full(token.max() + 1 if len(token) else 0, -1)
+        new[both] = np.arange(len(both))
+        token = new[token]
+        owner, token = owner[token >= 0], token[token >= 0]
+        rows = [np.flatnonzero(side == s) for s in (0, 1)]
+        place = np.empty(len(side), np.int64)
+        for r in rows:
+            place[r] = np.arange(len(r))
+        shared = np.zeros((len(rows[0]), len(rows[1])), np.float32)
+        order = np.argsort(token, kind="stable")
+        owner, token = owner[order], token[order]
+        for at in range(0, len(both), COLUMNS):
+            a, b = np.searchsorted(token, (at, at + COLUMNS))
+            parts = []
+            for s in (0, 1):
+                m = np.zeros((len(rows[s]), min(COLUMNS, len(both) - at)), np.float32)
+                own = side[owner[a:b]] == s
+                m[place[owner[a:b][own]], token[a:b][own] - at] = 1
+                parts.append(m)
+            shared += parts[0] @ parts[1].T
+        shared = shared.astype(np.int64)
+        union = size[rows[0]][:, None] + size[rows[1]][None] - shared
+        i, j = np.nonzero((100 * shared >= percent * union) & (label[rows[0]][:, None] != label[rows[1]][None]))
+        links = np.unique(np.stack([np.minimum(label[rows[0]][i], label[rows[1]][j]), np.maximum(label[rows[0]][i], label[rows[1]][j])], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        kept = []
+        for u, v in links.tolist():
+            a, b = top(u), top(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                kept.append((u, v))
+        return pa.table({"u": pa.array([u for u, _ in kept], pa.int64()), "v": pa.array([v for _, v in kept], pa.int64())})
+
+    return run
+
+
+def _rebased(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    buffer, offsets = X.text_bytes(column)
+    return buffer[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
