@@ -13,7 +13,7 @@ from larkspur.llm import langid, minhash, mixing, sentencepiece_ops, suffix_dedu
 from larkspur.llm.common import Tables
 
 #: A document whose best language has a lower score than this is rejected, as is one without a letter.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 #: Near duplicates share this percentage of their five-word shingles.
 NEAR_PERCENT = 80
 

@@ -5,7 +5,7 @@ kept, and a dense layer with softmax gives the window's language. A text is cut
 last one filled with zero bytes); its prediction is the mean of the windows' distributions, weighted by their bytes.
 
 The network is trained in numpy on a bounded sample of labelled documents (TRAIN_DOCS in all, in even shares by language,
-one window each). For prediction, all filter responses of a byte pair are tabulated, so a position costs two table rows.
+with at most TRAIN_DOCS windows). For prediction, all filter responses of a byte pair are tabulated, so a position costs two table rows.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-#: The bound of the training sample, and the most languages that are learned (the most frequent).
+#: The bound of the training sample, windows of a document where documents are few, and the most languages that are learned (the most frequent).
 TRAIN_DOCS = 6_000
+MOST_WINDOWS = 8
 MOST_LANGS = 200
 EPOCHS = 14
+LEAST_STEPS = 400
 BATCH = 128
 FOLDS = 5
 UNKNOWN = "und"
@@ -38,8 +40,8 @@ def held_out(doc_id: str = "doc_id"):
 def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, label numbers and languages, from rows that are not held out: at most train_docs rows reach the driver.
 
-    Languages get even shares; within a language those rows are taken whose hash is smallest. A row gives the window at
-    a place that its hash picks.
+    Languages get even shares; within a language those rows are taken whose hash is smallest. A row gives the windows at
+    places that its hash picks: one, or several where there are few rows.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
@@ -51,10 +53,13 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, n
     chosen = F.lit(False)
     for r in counts:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (unit < min(1.0, 1.1 * share / r["count"])))
-    place = F.pmod(mark, F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
+    each = max(1, min(MOST_WINDOWS, int(train_docs / sum(min(share, r["count"]) for r in counts))))
+    turn = F.explode(F.sequence(F.lit(0), F.lit(each - 1)))
+    place = F.pmod(F.xxhash64(mark, "turn"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
     rows = (
-        usable.where(chosen).select("lang", unit.alias("u"), F.substring(F.col("text"), (place + 1).cast("int"), WINDOW).alias("cut"))
-        .orderBy("u").limit(train_docs).collect()
+        usable.where(chosen).select("lang", "text", "doc_id", unit.alias("u"), turn.alias("turn"))
+        .select("lang", "u", "turn", F.substring(F.col("text"), (place + 1).cast("int"), WINDOW).alias("cut"))
+        .orderBy("u", "turn").limit(train_docs).collect()
     )
     langs = sorted({r["lang"] for r in rows})
     windows = np.zeros((len(rows), WINDOW), np.uint8)
@@ -83,7 +88,9 @@ class Network:
     def train(self, windows: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01) -> Network:
         rng = np.random.Generator(np.random.PCG64(11))
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        step, steps = 0, epochs * -(-len(labels) // BATCH)
+        each = -(-len(labels) // BATCH)
+        epochs = max(epochs, -(-LEAST_STEPS // each))
+        step, steps = 0, epochs * each
         for _ in range(epochs):
             order = rng.permutation(len(labels))
             for at in range(0, len(order), BATCH):
