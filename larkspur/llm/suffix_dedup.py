@@ -4,7 +4,7 @@ Where a string starts is (doc_id, byte); matches never cross documents. Three st
 
 1. Every start of LENGTH bytes belongs to the anchor of its window: the GRAM-byte string in it of the least hash, the leftmost of
    equal ones. Equal windows have equal anchors at equal places, so starts that can match meet if they are grouped by anchor. The
-   consecutive starts of an anchor are one snippet (on average LENGTH + 40 bytes); only hashes of snippets are shuffled.
+   consecutive starts of an anchor are one snippet (on average LENGTH + 27 bytes); only hashes of snippets are shuffled.
    A snippet that equals an earlier one whole is a repeat at all of its starts.
 2. Anchors with different snippets need exact comparison: their distinct snippets are dealt to shards by anchor. A shard
    gets a suffix array by induced sorting and permuted common prefixes; neighbours that share LENGTH bytes are a
@@ -27,7 +27,7 @@ from .common import Tables
 from .suffix import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
-GRAM = 20
+GRAM = 44
 #: Bytes of snippets that one suffix array is built for (a whole anchor at least), and distinct snippets of an anchor beyond which it is dealt by window.
 SHARD_BYTES = 2 << 20
 CROWD = 20_000
