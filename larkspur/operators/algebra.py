@@ -37,9 +37,8 @@ def catalog_page(names: DataFrame, offset: int = 0, size: int = 20) -> DataFrame
     if not 1 <= size <= 20:
         raise QueryError("A page holds 1 to 20 names")
     distinct = names.select("name").distinct()
-    total = distinct.agg(F.count(F.lit(1)).alias("total"))
-    page = distinct.orderBy("name").offset(offset).limit(size)
-    return page.crossJoin(F.broadcast(total)).select("name", F.when(F.col("total") > offset + size, F.lit(offset + size)).alias("next_offset"))
+    more = distinct.count() > offset + size
+    return distinct.orderBy("name").offset(offset).limit(size).select("name", F.lit(offset + size if more else None).cast("int").alias("next_offset"))
 
 
 def readable(rows: DataFrame, scope: str, grants: DataFrame, right: str = "read") -> DataFrame:

@@ -55,9 +55,3 @@ def health(configured: dict[str, tuple[Index, ...]], active: dict[str, dict[str,
                 state = "empty" if have[name][1] == 0 else "ready"
             out.append({"collection": collection, "index_name": name, "state": state})
     return out
-
-
-def rebuilt_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row (only_a, only_b): rows, with their multiplicity, that the other lacks."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_a")).crossJoin(F.broadcast(b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_b"))))

@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from .ast import And, Comparison, Not, Or, Order, QueryError
 
-FALSE = F.lit
 _INTEGER = re.compile(r"(0|-?[1-9][0-9]*)\Z")
 
 
