@@ -40,9 +40,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, rows:
         for name, w in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(share)
     shares = counts.withColumn("share", share)
-    total = shares.agg(F.sum("share").alias("all_shares"), F.sum("n").alias("all_rows"))  # one row
-    mean = F.when(F.col("all_shares") > 0, F.lit(rows) if rows else F.col("all_rows").cast("double")).otherwise(F.lit(0.0)) * F.col("share") / F.greatest(F.col("all_shares"), F.lit(1e-300)) / F.col("n")
-    with_mean = shares.crossJoin(F.broadcast(total)).withColumn("mean", mean).withColumn("whole", F.when(F.col("mean") > WHOLE, F.floor(F.col("mean")) - WHOLE).otherwise(F.lit(0)).cast("long"))
+    total = shares.agg(F.sum("share").alias("shares"), F.sum("n").alias("rows")).first()
+    wanted = float(rows if rows is not None else total["rows"] or 0) if total["shares"] else 0.0
+    mean = F.lit(wanted) * F.col("share") / F.lit(float(total["shares"] or 1.0)) / F.col("n")
+    with_mean = shares.withColumn("mean", mean).withColumn("whole", F.when(F.col("mean") > WHOLE, F.floor(F.col("mean")) - WHOLE).otherwise(F.lit(0)).cast("long"))
     with_mean = with_mean.withColumn("part", F.col("mean") - F.col("whole"))
     start = F.struct(F.exp(-F.col("part")).alias("p"), F.array(F.exp(-F.col("part"))).alias("cdf"))
     step = lambda acc, k: F.struct(
