@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 import json
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,15 +113,6 @@ def inspect(store: Store, name: str) -> dict:
     return {"collection": name} | {k: getattr(head, k) for k in ("revision", "layout", "records", "tombstones")} | {"parts": len(head.parts)}
 
 
-def set_indexes(store: Store, name: str, entries: dict) -> dict:
-    """Record indexes (name to definition and number of entries) in the next manifest; writers that know others must fail."""
-    head = store.head(name)
-    after = replace(head, revision=head.revision + 1, indexes=entries)
-    if not store._publish(name, after):
-        raise QueryError(f"{name} was written meanwhile")
-    return {"collection": name, "revision": after.revision}
-
-
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__.split("\n")[0])
     p.add_argument("command", choices=("export", "validate", "import", "emit", "migrate", "maintain", "erase", "inspect"))

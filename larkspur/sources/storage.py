@@ -16,9 +16,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..collection import check_name
+from ..collection import Collection, check_name
 from ..functions.values import id_bucket
-from ..plans.ast import QueryError
+from ..operators import index as index_tables
+from ..operators.lifecycle import MARKS
+from ..plans.ast import REFERENCE, Limits, QueryError
+from ..plans.compile import Typed
+from ..plans.planner import Index
 
 RETRIES = 40
 
@@ -37,6 +41,15 @@ class Head:
     indexes: dict = field(default_factory=dict)
 
 
+def definition(i: Index) -> dict:
+    return {"name": i.name, "keys": list(i.keys), "mode": i.mode, "include": list(i.include)}
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    rows = rows.drop("bucket")
+    return rows.where(F.col("deleted_at").isNull()).drop(*MARKS) if "deleted_at" in rows.columns else rows
+
+
 class Store:
     """Collections of one scope below a root folder."""
 
@@ -93,10 +106,22 @@ class Store:
         rows = self.spark.read.parquet(*sorted(set(parts.values())))
         return rows if id_ is None else rows.where(F.col("id") == id_)
 
-    def commit(self, name: str, change: Callable[[DataFrame | None], DataFrame], layout: str | None = None, touched: DataFrame | None = None) -> Head:
-        """Replace the stored rows by change(rows). touched: ids beyond which the change does nothing; a bucketed collection rewrites their buckets only."""
+    def commit(
+        self, name: str, change: Callable[[DataFrame | None], DataFrame], layout: str | None = None, touched: DataFrame | None = None, indexes: tuple[Index, ...] | None = None, expected_revision: int | None = None
+    ) -> Head:
+        """Replace the stored rows by change(rows). touched: ids beyond which the change does nothing; a bucketed collection rewrites their buckets only.
+
+        indexes: what the writer has configured; None: none. A write is refused where the manifest holds others, so that no index falls behind
+        (`configure` changes them). expected_revision: write only if nothing was written since.
+        """
         for _ in range(RETRIES):
             head = self.head(name)
+            if expected_revision is not None and head.revision != expected_revision:
+                raise Conflict(f"{name} is at revision {head.revision}, not {expected_revision}")
+            held = {k: v["definition"] for k, v in head.indexes.items()}
+            configured = {i.name: definition(i) for i in indexes or ()}
+            if head.revision and held != configured:
+                raise QueryError(f"{name}: the configured indexes differ from those of the collection")
             kind = layout or head.layout
             revision = head.revision + 1
             generation = f"{self.root}/{name}/gen-{revision:012d}-{uuid.uuid4().hex}"
@@ -110,11 +135,43 @@ class Store:
                 new.repartition("bucket").write.partitionBy("bucket").parquet(generation)
                 path, fs = self._path(name, generation.rsplit("/", 1)[1])
                 parts |= {s.getPath().getName()[7:]: f"{generation}/{s.getPath().getName()}" for s in fs.listStatus(path) if s.getPath().getName().startswith("bucket=")}
-            after = Head(revision, kind, parts, *self._counts(parts), head.indexes)
+            after = Head(revision, kind, parts, *self._counts(parts), self._write_indexes(parts, generation, indexes or ()))
             if self._publish(name, after):
                 return after
         raise Conflict(f"{name}: {RETRIES} commits in a row came second")
 
+    def configure(self, name: str, indexes: tuple[Index, ...]) -> Head:
+        """Build the indexes anew from the stored rows and make them those of the collection."""
+        for _ in range(RETRIES):
+            head = self.head(name)
+            revision = head.revision + 1
+            generation = f"{self.root}/{name}/gen-{revision:012d}-{uuid.uuid4().hex}"
+            after = Head(revision, head.layout, head.parts, head.records, head.tombstones, self._write_indexes(head.parts, generation, indexes))
+            if self._publish(name, after):
+                return after
+        raise Conflict(f"{name}: {RETRIES} commits in a row came second")
+
+    def _write_indexes(self, parts: dict, generation: str, indexes: tuple[Index, ...]) -> dict:
+        out = {}
+        for i in indexes if parts else ():
+            rows = _live(self.spark.read.parquet(*sorted(set(parts.values()))))
+            postings = index_tables.build(rows, i, Typed(rows.schema))
+            path = f"{generation}-{i.name}"
+            index_tables.write(postings, i, path)
+            entries = index_tables.stats(self.spark.read.parquet(path), i).first()["entries"]
+            out[i.name] = {"definition": definition(i), "path": path, "entries": entries}
+        return out
+
+    def collection(self, name: str, indexes: tuple[Index, ...] = (), limits: Limits = REFERENCE, binary_safe=()) -> Collection:
+        """The live documents as a collection: its plans use the indexes that the manifest holds as configured, and scan where one is missing."""
+        head = self.head(name)
+        rows = self.read(name, head=head)
+        if rows is None:
+            raise QueryError(f"No such collection: {name}")
+        usable = {i.name: head.indexes[i.name]["path"] for i in indexes if i.name in head.indexes and head.indexes[i.name]["definition"] == definition(i)}
+        coverings = {n: self.spark.read.parquet(p) for n, p in usable.items()}
+        return Collection.typed(name, _live(rows), indexes=indexes, limits=limits, binary_safe=binary_safe, coverings=coverings, available=frozenset(usable))
+
     def _bucketed(self, name: str, head: Head, touched: DataFrame | None) -> tuple[dict, DataFrame | None]:
         """(parts that stay, rows of the others). At most 256 bucket names reach the driver."""
         if head.layout != "bucketed" or touched is None:
@@ -147,7 +204,8 @@ class Store:
         for r in revisions[-keep_manifests:]:
             path, fs = self._path(name, f"HEAD-{r:012d}.json")
             stream = fs.open(path)
-            used |= {p.split("/gen-")[1].split("/")[0] for p in json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["parts"].values()}
+            manifest = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            used |= {p.split("/gen-")[1].split("/")[0] for p in [*manifest["parts"].values(), *(i["path"] for i in manifest["indexes"].values())]}
             stream.close()
         path, fs = self._path(name)
         gone = 0
