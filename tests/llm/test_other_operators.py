@@ -64,6 +64,16 @@ def test_html(spark):
     assert html_extract.extract(given.limit(0)).count() == 0
 
 
+def test_html_of_odd_shape():
+    text = lambda page: html_extract.apply(page, None, frozenset(), None)
+    assert text("<article>" + "<div>a" * 3_000 + "</div>z" * 10).split() == ["a"] * 3_000 + ["z"] * 10
+    wide = "<article>" + "<p>x" * 20_000
+    assert text(wide) == " ".join(["x"] * 20_000)
+    assert html_extract.induce([wide, wide + "<p>y", "<a <b <c", "<!-- open"]) == ("#/article", [])
+    assert text("<p title='>never closed") == ""
+    assert text("<article><nav>" + "<div>" * 400 + "menu</nav>text</article>") == "text"
+
+
 def test_tree_matching():
     a, b = html_extract.parse("<div><p>1</p><p>2</p><ul><li>x</ul></div>"), html_extract.parse("<div><h1>n</h1><p>1</p><ul><li>x<li>y</ul></div>")
     found = html_extract.match(a, b)
