@@ -22,7 +22,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words of more bytes are segmented one by one.
 LONGEST_TOGETHER = 64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: How much worse than the worst piece an uncovered character is.
 PENALTY = 10.0
 _MAYBE = 1 << 20
@@ -193,19 +193,17 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> t
 
 
 def encoder(model: str, keep: list[str]):
+    """Batches go out in pieces of about SLICE_BYTES of text, so that memory follows the longest text and not the batch."""
+
     def run(batches):
         vocab = vocabulary(model)
         for batch in batches:
-            null = batch.column("text").is_null()
-            ids, bounds, base = [], [np.zeros(1, np.int64)], 0
-            for _, _, buffer, offsets in X.slices(*X.text_bytes(batch.column("text")), SLICE_BYTES):
-                got, at = encode_texts(vocab, buffer, offsets)
-                ids.append(got)
-                bounds.append(at[1:] + base)
-                base += len(got)
-            bounds = np.concatenate(bounds).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), mask=null if null.true_count else None)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [lists], [*keep, "ids"])
+            for row, end, buffer, offsets in X.slices(*X.text_bytes(batch.column("text")), SLICE_BYTES):
+                part = batch.slice(row, end - row)
+                ids, bounds = encode_texts(vocab, buffer, offsets)
+                null = part.column("text").is_null()
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=null if null.true_count else None)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [lists], [*keep, "ids"])
 
     return run
 
@@ -214,13 +212,18 @@ def decoder(model: str, keep: list[str]):
     def run(batches):
         vocab = vocabulary(model)
         for batch in batches:
-            lists = batch.column("ids")
-            bounds = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).astype(np.int64)
-            data, offsets = decode_ids(vocab, np.asarray(lists.flatten().fill_null(0)), bounds)
-            raw = data.tobytes()
-            null = lists.is_null().to_pylist()
-            texts = [None if null[k] else raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace") for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], [*keep, "decoded"])
+            sizes = np.asarray(batch.column("ids").value_lengths().fill_null(0))
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            row = 0
+            while row < batch.num_rows:
+                end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + SLICE_BYTES // 2, "right")) - 1)
+                part = batch.slice(row, end - row)
+                lists = part.column("ids")
+                data, offsets = decode_ids(vocab, np.asarray(lists.flatten().fill_null(0)), bounds[row : end + 1] - bounds[row])
+                raw, null = data.tobytes(), lists.is_null().to_pylist()
+                texts = [None if null[k] else raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace") for k in range(end - row)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(texts, pa.string())], [*keep, "decoded"])
+                row = end
 
     return run
 
@@ -245,8 +248,8 @@ def round_trip(model: str):
 
     def run(batches):
         for coded in encoder(model, ["doc_id", "text"])(batches):
-            back = next(decoder(model, ["doc_id"])(iter([coded])))
-            same = [a == b for a, b in zip(coded.column("text").to_pylist(), back.column("decoded").to_pylist(), strict=True)]
+            back = [t for b in decoder(model, ["doc_id"])(iter([coded])) for t in b.column("decoded").to_pylist()]
+            same = [a == b for a, b in zip(coded.column("text").to_pylist(), back, strict=True)]
             yield pa.RecordBatch.from_arrays([coded.column("doc_id"), coded.column("ids"), coded.column("ids").value_lengths().fill_null(0).cast(pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "spells_text"])
 
     return run
