@@ -117,24 +117,23 @@ def read_turn(ids: np.ndarray, mask: np.ndarray, encoder, control: dict[int, str
     """(role, text, text under the loss), from the ids and mask alone."""
     role, text, open_, marks = "assistant", "", "", []
     at = 0
-    cuts = [k for k, x in enumerate(ids) if x in control]
-    for k in [*cuts, len(ids)]:
+    for k in [*np.flatnonzero(ids >= min(control)).tolist(), len(ids)]:
         if k > at:
-            piece = unescape(encoder.decode_bytes(ids[at:k]).decode())
+            piece = unescape(encoder.decode_bytes(ids[at:k].tolist()).decode())
             if open_ == "[ROLE]":
                 role = piece
             else:
                 text = piece
         if k < len(ids):
-            open_ = control[ids[k]]
+            open_ = control[int(ids[k])]
             marks.append(open_)
         at = k + 1
     if "[INST]" in marks:
         role = "user"
     elif "[ROLE]" in marks and role == "assistant":
         role = ""
-    under = [x for x, m in zip(ids, mask, strict=True) if m]
-    return role, text, unescape(encoder.decode_bytes(under).decode()) if under else ""
+    under = ids[mask.astype(bool)]
+    return role, text, unescape(encoder.decode_bytes(under.tolist()).decode()) if len(under) else ""
 
 
 def digest_turns(path: str):
@@ -152,7 +151,11 @@ def digest_turns(path: str):
         kind = None
         for batch in batches:
             kind = batch.schema.field("conv_id").type
-            for conv, formatted, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "ids", "loss_mask")), strict=True):
+            lists = batch.column("ids")
+            places = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)
+            all_ids, all_masks = np.asarray(lists.flatten()), np.asarray(batch.column("loss_mask").flatten())
+            for k, (conv, chars) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("formatted_chars").to_pylist(), strict=True)):
+                ids, mask = all_ids[places[k] : places[k + 1]], all_masks[places[k] : places[k + 1]]
                 if state is None or state[0] != conv:
                     if state is not None:
                         close()
@@ -162,7 +165,7 @@ def digest_turns(path: str):
                 state[2].update(f"{role}\n{text}\n".encode())
                 state[3] += len(under)
                 state[4].update(under.encode())
-                state[5] += len(formatted)
+                state[5] += chars
             if len(done) > 5_000:
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind if k == 0 else None) for k, v in enumerate(zip(*done, strict=True))], names)
                 done = []
@@ -177,7 +180,7 @@ def digest_turns(path: str):
 def digest(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from ids and masks."""
     kind = dict(formatted.dtypes)["conv_id"]
-    ordered = formatted.select("conv_id", "seq", "formatted", "ids", "loss_mask").repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq")
+    ordered = formatted.select("conv_id", "seq", F.length("formatted").cast("long").alias("formatted_chars"), "ids", "loss_mask").repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq")
     return ordered.mapInArrow(digest_turns(vocabulary), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
