@@ -64,12 +64,27 @@ def test_html(spark):
     assert html_extract.extract(given.limit(0)).count() == 0
 
 
+def test_html_template_from_all_pages(spark):
+    page = "<body><div class='c'><p>%s</p><p>story %d has words of its own</p><p>%s</p></div></body>"
+    rows = [(k, "http://one.example.com/", page % ("Follow this site" if k != 7 else "Welcome", k, "Often said" if k % 2 else f"said {k}")) for k in range(40)]
+    rows += [(100 + k, "http://two.example.com/", rows[0][2]) for k in range(5)]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_extract.extract(given).collect()}
+    for k in range(40):
+        said = "Often said" if k % 2 else f"said {k}"
+        assert got[k] == ("Welcome " if k == 7 else "") + f"story {k} has words of its own {said}", k
+    assert got[100] == got[104] == "Follow this site story 0 has words of its own said 0"
+
+
 def test_html_of_odd_shape():
     text = lambda page: html_extract.apply(page, None, frozenset(), None)
     assert text("<article>" + "<div>a" * 3_000 + "</div>z" * 10).split() == ["a"] * 3_000 + ["z"] * 10
     wide = "<article>" + "<p>x" * 20_000
     assert text(wide) == " ".join(["x"] * 20_000)
-    assert html_extract.induce([wide, wide + "<p>y", "<a <b <c", "<!-- open"]) == ("#/article", [])
+    tree = html_extract.parse(wide)
+    nodes = html_extract.with_text(tree)
+    same = sum(html_extract.agreement(tree, nodes, p) for p in (wide + "<p>y", "<a <b <c", "<!-- open"))
+    assert html_extract.induce(wide, same, 3) == ("#/article", [])
     assert text("<p title='>never closed") == ""
     assert text("<article><nav>" + "<div>" * 400 + "menu</nav>text</article>") == "text"
 
