@@ -70,7 +70,7 @@ def shard(docs: DataFrame, limit: int, tables: Tables, key: str = "doc_id", text
 
     The hash is of the key, or of the text where the key is null. n_bytes is the UTF-8 length of the text (null: 0).
     Three columns name a shard. shard_page is 0 but for rows that no bit can part: a row longer than the limit has a shard
-    of its own (depth -1, page a hash of the row), and rows of equal hash fill overflow pages, each within the limit.
+    of its own (depth -1, page a number of the row), and rows of equal hash fill overflow pages, each within the limit.
     Repeated rows are kept, each in the shard of its hash. An empty table gives an empty result. Columns of docs named like an added
     one are replaced.
     """
