@@ -2,7 +2,8 @@
 
 A source of n documents that is to have the share w of N rows gets the mean repetition rate N * w / n. Each document's
 count is the inverse of the Poisson distribution with its source's mean at a uniform number hashed from a seed and
-the document's id; the document is repeated so often, and all copies are shuffled by a second hash. The shares hold
+the document's id (for a mean over WHOLE the sum of several such draws of equal smaller means, which has the same distribution);
+the document is repeated so often, and all copies are shuffled by a second hash. The shares hold
 in the mean, each document's count depends on nothing but its id and its source's rate, and a rerun gives the same rows.
 """
 
@@ -13,9 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import Tables, partitions
 
-#: Counts beyond this have a probability under 1e-15 up to a rate of 40; higher rates get a whole part besides.
+#: Counts beyond STEPS have a probability under 1e-15 up to a rate of 40; rates over WHOLE are drawn as sums.
 STEPS = 130
 WHOLE = 32
 BROADCAST_ROWS = 2_000
@@ -27,7 +28,7 @@ def uniform(seed: str, key: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, rows: float | None) -> DataFrame:
-    """(source, whole, part, cdf): the mean is whole + part; cdf has the Poisson distribution of part.
+    """(source, draws, part, cdf): the mean is draws * part; cdf has the Poisson distribution of part.
 
     weights: shares by source; sources that it doesn't name get none. None: shares in proportion to n ** alpha.
     rows: rows wanted, None for as many as there are.
@@ -43,14 +44,14 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, rows:
     total = shares.agg(F.sum("share").alias("shares"), F.sum("n").alias("rows")).first()
     wanted = float(rows if rows is not None else total["rows"] or 0) if total["shares"] else 0.0
     mean = F.lit(wanted) * F.col("share") / F.lit(float(total["shares"] or 1.0)) / F.col("n")
-    with_mean = shares.withColumn("mean", mean).withColumn("whole", F.when(F.col("mean") > WHOLE, F.floor(F.col("mean")) - WHOLE).otherwise(F.lit(0)).cast("long"))
-    with_mean = with_mean.withColumn("part", F.col("mean") - F.col("whole"))
+    with_mean = shares.withColumn("mean", mean).withColumn("draws", F.greatest(F.ceil(F.col("mean") / WHOLE), F.lit(1)).cast("long"))
+    with_mean = with_mean.withColumn("part", F.col("mean") / F.col("draws"))
     start = F.struct(F.exp(-F.col("part")).alias("p"), F.array(F.exp(-F.col("part"))).alias("cdf"))
     step = lambda acc, k: F.struct(
         (acc["p"] * F.col("part") / k.cast("double")).alias("p"),
         F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * F.col("part") / k.cast("double"))).alias("cdf"),
     )
-    return with_mean.select("source", "whole", "part", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: acc["cdf"]).alias("cdf"))
+    return with_mean.select("source", "draws", "part", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: acc["cdf"]).alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, rows: float | None = None, seed: str = "mix", key: str = "doc_id", shuffle: bool = True) -> DataFrame:
@@ -61,13 +62,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     A table of rates beyond BROADCAST_ROWS sources is joined by shuffle, where adaptive execution splits a hot source.
     """
     kept = [c for c in docs.columns if c.lower() not in {"replica", "shuffle_key"}]
-    table = rates(docs, weights, alpha, rows).select(F.col("source").alias("__source"), "whole", "cdf")
+    table = rates(docs, weights, alpha, rows).select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
     few = docs.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    below = lambda u: F.size(F.filter("__cdf", lambda c: c <= u)).cast("long")
+    more = F.sequence(F.lit(1).cast("long"), F.col("__draws") - 1)
+    further = F.aggregate(more, F.lit(0).cast("long"), lambda n, k: n + below(uniform(seed, F.concat(F.lit("#"), k.cast("string"), F.lit("#"), F.col("__name")))))
     drawn = (
-        docs.select(*[F.col(f"`{c}`") for c in kept], uniform(seed, name).alias("__u"))
+        docs.select(*[F.col(f"`{c}`") for c in kept], name.alias("__name"))
         .join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("__count", F.col("whole") + F.size(F.filter("cdf", lambda c: c <= F.col("__u"))))
+        .withColumn("__u", uniform(seed, F.col("__name")))
+        .withColumn("__count", below(F.col("__u")) + F.when(F.col("__draws") > 1, further).otherwise(F.lit(0).cast("long")))
         .where(F.col("__count") > 0)
     )
     copies = drawn.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(0).cast("long"), F.col("__count") - 1)).alias("replica"))
@@ -80,7 +85,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "source"))
+    """Whole documents, mixed and written in their new order; of what was written the columns that the SQL names."""
+    return Tables(spark, "mix").cut(mix(docs)).select("doc_id", "source", "replica", "shuffle_key")
 
 
 ORACLE = f"""

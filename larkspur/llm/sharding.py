@@ -5,7 +5,7 @@ split on one more bit. The shard of a row is therefore its shortest prefix whose
 once at a depth a little beyond what even hashing needs; all shorter prefixes are sums of those. Prefixes that still
 exceed the limit there are summed again, deeper, alone.
 
-Everything here is DataFrame work. Only sums by prefix are shuffled, never texts.
+Everything here is DataFrame work. To find the shards only sums by prefix are shuffled; laying rows out shuffles them whole, once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, partitions
 
 BITS = 60
 #: Bits summed at once beyond the depth that even hashing needs.
@@ -106,9 +106,22 @@ def shard(docs: DataFrame, limit: int, tables: Tables, key: str = "doc_id", text
     return out.select(*[F.col(f"`{c}`") for c in kept], F.col("shard_depth").cast("int").alias("shard_depth"), "shard_prefix", "shard_page", "n_bytes")
 
 
+SHARD = ("shard_depth", "shard_prefix", "shard_page")
+
+
+def lay_out(sharded: DataFrame, path: str) -> DataFrame:
+    """Whole rows of `shard` written as a folder for each shard with one file in it; what was written, with the columns of sharded."""
+    spark = sharded.sparkSession
+    schema = sharded.schema
+    sharded.repartition(partitions(spark), *SHARD).sortWithinPartitions(*SHARD).write.partitionBy(*SHARD).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*[F.col(f"`{c}`") for c in sharded.columns])
+
+
 def query(spark, docs: DataFrame, limit: int = 4 << 20) -> DataFrame:
-    """The shard of every document, with the shard's rows and bytes left to a group-by of the reader."""
-    return shard(docs.select("doc_id", "text"), limit, Tables(spark, "shards")).drop("text")
+    """Whole documents laid out in shards; of what was written the id, the shard and the size, with the shard's rows and bytes left to a group-by of the reader."""
+    tables = Tables(spark, "shards")
+    laid = lay_out(shard(docs, limit, tables), f"{tables.root}/rows")
+    return laid.select("doc_id", *SHARD, "n_bytes")
 
 
 #: The same by comparing all depths from 0 in turn (equal keys in numbers that overflow a shard don't occur in these tables).

@@ -275,3 +275,27 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     high = mixing.mix(docs(spark, [(1, "t", None, "a", None)]), {"a": 1}, rows=1_000).count()
     assert 950 <= high <= 1_050
+
+
+def test_mixing_of_high_rates_is_poisson(spark):
+    rows = [(k, "t", None, "a", None) for k in range(400)]
+    out = mixing.mix(docs(spark, rows), {"a": 1}, rows=400 * 300)
+    count = np.array([r["count"] for r in out.groupBy("doc_id").count().collect()])
+    assert len(count) == 400 and abs(count.mean() - 300) < 4 and 0.75 < count.var() / 300 < 1.25
+
+
+def test_whole_rows_are_mixed_and_sharded(spark, monkeypatch):
+    given = docs(spark, corpus(120, 5))
+    written = []
+    cut = Tables.cut
+    monkeypatch.setattr(mixing.Tables, "cut", lambda self, df: written.append(cut(self, df)) or written[-1])
+    plain = mixing.query(spark, given)
+    texts = {r.doc_id: tuple(r) for r in given.collect()}
+    mixed = written[0].collect()
+    assert len(mixed) == plain.count() > 0 and all(tuple(r)[:5] == texts[r.doc_id] for r in mixed)
+    monkeypatch.undo()
+    tables = Tables(spark, "t")
+    laid = sharding.lay_out(sharding.shard(given, 6_000, tables), f"{tables.root}/rows")
+    assert sorted(map(repr, (tuple(r)[:5] for r in laid.collect()))) == sorted(map(repr, texts.values()))
+    files = laid.select(*sharding.SHARD, F.input_file_name().alias("file")).distinct().collect()
+    assert len(files) == len({tuple(r)[:3] for r in files}) == len({r.file for r in files}) > 3
