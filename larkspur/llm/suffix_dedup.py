@@ -9,7 +9,8 @@ Where a string starts is (doc_id, byte); matches never cross documents. Three st
 2. Anchors with different snippets need exact comparison: their distinct snippets are dealt to shards by anchor. A shard
    gets a suffix array by induced sorting and permuted common prefixes; neighbours that share LENGTH bytes are a
    class, and all starts of a class but the earliest are repeats. An anchor of more than CROWD distinct snippets is dealt
-   start by start, by the hash of the window, so that no shard has to hold it.
+   start by start, by the hash of the window: of equal windows that a task reads together only the earliest goes on, and those
+   are read in order, so that nothing but the earliest of the window at hand is held, however many documents share it.
 3. The repeats of a document are united and cut out of its bytes.
 """
 
@@ -31,6 +32,8 @@ GRAM = 44
 #: Bytes of snippets that one suffix array is built for (a whole anchor at least), and distinct snippets of an anchor beyond which it is dealt by window.
 SHARD_BYTES = 2 << 20
 CROWD = 20_000
+#: Starts of crowded anchors of which equal windows are looked for at once.
+WINDOWS = 500_000
 #: Rows of one anchor that are held at once.
 HELD = 2_000_000
 _SPAN = LENGTH - GRAM + 1
@@ -158,8 +161,55 @@ def meet(batches):
         yield settle(join(held), spilling)
 
 
+SNIPPET, WINDOW, REPEAT = 0, 1, 2
+_PIECE = 20_000
+
+
+def runs_of(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, first start, count) of the runs of consecutive starts."""
+    order = np.lexsort((start, doc))
+    d, s = doc[order], start[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(d))[: len(head)] - 1
+    return d[head], s[head], s[last] - s[head] + 1
+
+
+def distinct_windows(buffer: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each window, which are the earliest of their bytes here, which are repeats of those). Bytes are compared, not only hashes."""
+    view = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)
+    weights = X.powers(X.BASE, LENGTH)[:LENGTH]
+    pieces = range(0, len(first), _PIECE)
+    hashes = np.concatenate([X.mix((X.BYTE_VALUES[view[first[at : at + _PIECE]]] * weights).sum(1, dtype=np.uint64)) for at in pieces])
+    order = np.lexsort((start, doc, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    same = np.concatenate([(view[first[order[at : at + _PIECE]]] == view[first[head[at : at + _PIECE]]]).all(1) for at in pieces])
+    open_, later = np.empty(len(order), bool), np.empty(len(order), bool)
+    open_[order] = new | ~same
+    later[order] = same & ((doc[order] != doc[head]) | (start[order] != start[head]))
+    return hashes, open_, later
+
+
 def cutter():
-    """The bytes of the snippets asked for: rows (shard, doc, start, count, bytes)."""
+    """The bytes asked for: rows (kind, shard, doc, start, count, bytes). Starts of crowded anchors are windows of their own, or repeats already (without bytes)."""
+
+    def rows_of(kind, shard, doc, start, count, pieces):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(doc), kind, np.int8)), pa.array(shard), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pieces],
+            ["kind", "shard", "doc", "start", "count", "bytes"],
+        )
+
+    def pieces_of(kind, buffer, shard, doc, start, count, first):
+        size = count + LENGTH - 1
+        for at in range(0, len(doc), _PIECE):
+            part = slice(at, at + _PIECE)
+            ends = np.concatenate([[0], np.cumsum(size[part])])
+            take = np.arange(ends[-1]) + np.repeat(first[part] - ends[:-1], size[part])
+            pieces = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(buffer[take].tobytes())])
+            yield rows_of(kind, shard[part], doc[part], start[part], count[part], pieces)
 
     def run(batches):
         for batch in batches:
@@ -171,24 +221,25 @@ def cutter():
             flat = wanted.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.asarray(wanted.value_lengths().fill_null(0)))
             anchor, start, count, classes = (flat.field(k).to_numpy() for k in ("anchor", "start", "count", "classes"))
-            start, count, shard = start.astype(np.int64), count.astype(np.int64), anchor.copy()
+            start, count = start.astype(np.int64), count.astype(np.int64)
             crowded = classes > CROWD
-            if crowded.any():
-                each = np.where(crowded, count, 1)
+            few = ~crowded
+            yield from pieces_of(SNIPPET, buffer, anchor[few], ids[row[few]], start[few], count[few], offsets[row[few]] + start[few])
+            row, start, count = row[crowded], start[crowded], count[crowded]
+            turn = np.cumsum(count) // WINDOWS
+            for k in np.unique(turn):
+                here = turn == k
+                each = count[here]
                 place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                row, start, crowded = np.repeat(row, each), np.repeat(start, each) + place, np.repeat(crowded, each)
-                count, shard = np.where(crowded, 1, np.repeat(count, each)), np.repeat(shard, each)
-                for k in np.flatnonzero(crowded):
-                    at = offsets[row[k]] + start[k]
-                    shard[k] = int.from_bytes(hashlib.blake2b(buffer[at : at + LENGTH].tobytes(), digest_size=8).digest(), "little", signed=True)
-            first = offsets[row] + start
-            size = count + LENGTH - 1
-            for at in range(0, len(row), 20_000):
-                part = slice(at, at + 20_000)
-                ends = np.concatenate([[0], np.cumsum(size[part])])
-                take = np.arange(ends[-1]) + np.repeat(first[part] - ends[:-1], size[part])
-                pieces = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(buffer[take].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(shard[part]), pa.array(ids[row[part]]), pa.array(start[part].astype(np.int32)), pa.array(count[part].astype(np.int16)), pieces], ["shard", "doc", "start", "count", "bytes"])
+                r, s = np.repeat(row[here], each), np.repeat(start[here], each) + place
+                doc, first = ids[r], offsets[r] + s
+                hashes, open_, later = distinct_windows(buffer, first, doc, s)
+                yield from pieces_of(WINDOW, buffer, X.as_long(hashes[open_]), doc[open_], s[open_], np.ones(int(open_.sum()), np.int64), first[open_])
+                d, s, c = runs_of(doc[later], s[later])
+                if len(d):
+                    # A repeat needs no comparison: it is dealt by a hash of its place.
+                    shard = X.as_long(X.mix(d.view(np.uint64) * X.MULTIPLIERS[0] + s.astype(np.uint64)))
+                    yield rows_of(REPEAT, shard, d, s, c, pa.array([b""] * len(d), pa.binary()))
 
     return run
 
@@ -211,24 +262,57 @@ def repeats_in(t: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndar
     return d[later], s[later]
 
 
+class Earliest:
+    """Repeats among windows in the order (shard, doc, start). Only the earliest place of each window of the shard at hand is held."""
+
+    def __init__(self):
+        self.shard, self.seen = None, {}
+
+    def later(self, shard: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        new = np.ones(len(shard), bool)
+        new[1:] = shard[1:] != shard[:-1]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(shard)), 0))
+        out = (doc != doc[head]) | (start != start[head])
+        # Shards that go on from the batch before or hold windows of different bytes are gone through one by one.
+        slow = ~(windows == windows[head]).all(1)
+        group = np.cumsum(new) - 1
+        slow = np.bincount(group, slow)[group] > 0
+        if shard[0] == self.shard:
+            slow |= group == 0
+        slow |= group == group[-1]
+        for k in np.flatnonzero(slow):
+            if shard[k] != self.shard:
+                self.shard, self.seen = shard[k], {}
+            place = (doc[k], start[k])
+            out[k] = self.seen.setdefault(windows[k].tobytes(), place) != place
+        return out
+
+
 def compare(batches):
-    """Repeats (doc, start, count) from snippets in the order of their shards: suffix arrays of whole shards, several small ones at a time."""
+    """Repeats (doc, start, count) from rows in the order (kind, shard, doc, start): suffix arrays of whole shards of snippets, several small
+    ones at a time; windows one after another; repeats as they are."""
     held: list = []
     size = 0
+    earliest = Earliest()
+
+    def given(doc, start, count):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["doc", "start", "count"])
 
     def settle(rows):
         doc, start, count, t = (np.concatenate([x[k] for x in rows]) for k in range(1, 5))
         count = count.astype(np.int64)
-        d, s = repeats_in(t, doc, start.astype(np.int64), count, np.concatenate([[0], np.cumsum(count + LENGTH - 1)]))
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
-        head = np.flatnonzero(new)
-        last = np.append(head[1:], len(d))[: len(head)] - 1
-        return pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(s[head].astype(np.int32)), pa.array((s[last] - s[head] + 1).astype(np.int32))], ["doc", "start", "count"])
-
-    for batch in batches:
+        return given(*runs_of(*repeats_in(t, doc, start.astype(np.int64), count, np.concatenate([[0], np.cumsum(count + LENGTH - 1)]))))
+
+    for whole_batch in batches:
+        kinds = whole_batch.column("kind").to_numpy()
+        bounds = np.searchsorted(kinds, [SNIPPET, WINDOW, REPEAT, REPEAT + 1])
+        batch, windows, repeats = (whole_batch.slice(a, b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+        if repeats.num_rows:
+            yield repeats.select(["doc", "start", "count"])
+        if windows.num_rows:
+            shard, doc, start = (windows.column(c).to_numpy() for c in ("shard", "doc", "start"))
+            later = earliest.later(shard, doc, start, _bytes(windows.column("bytes")).reshape(-1, LENGTH))
+            yield given(*runs_of(doc[later], start[later]))
         if not batch.num_rows:
             continue
         rows = [batch.column(c).to_numpy() for c in ("shard", "doc", "start", "count")]
@@ -308,8 +392,8 @@ def dedup(docs: DataFrame, tables: Tables, keep: list[str] | None = None, output
     met = tables.cut(found.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc", "start").mapInArrow(meet, "anchor long, doc long, start int, count smallint, classes long"))
     named = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
     wanted = met.where("classes > 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "count", "classes")).alias("wanted"))
-    cut = named.join(wanted, "doc").select("doc_id", "text", "wanted").mapInArrow(cutter(), "shard long, doc long, start int, count smallint, bytes binary")
-    compared = cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(compare, "doc long, start int, count int")
+    cut = named.join(wanted, "doc").select("doc_id", "text", "wanted").mapInArrow(cutter(), "kind byte, shard long, doc long, start int, count int, bytes binary")
+    compared = cut.repartition("shard").sortWithinPartitions("kind", "shard", "doc", "start").mapInArrow(compare, "doc long, start int, count int")
     runs = met.where("classes = 0").select("doc", "start", F.col("count").cast("int").alias("count")).unionByName(compared)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     kinds = dict(docs.dtypes)

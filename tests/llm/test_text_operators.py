@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,3 +300,41 @@ def test_whole_rows_are_mixed_and_sharded(spark, monkeypatch):
     assert sorted(map(repr, (tuple(r)[:5] for r in laid.collect()))) == sorted(map(repr, texts.values()))
     files = laid.select(*sharding.SHARD, F.input_file_name().alias("file")).distinct().collect()
     assert len(files) == len({tuple(r)[:3] for r in files}) == len({r.file for r in files}) > 3
+
+
+def test_suffix_dedup_of_a_passage_that_many_share(spark, monkeypatch):
+    """Equal windows of a crowded anchor are never held together: one row of bytes for each batch, and no suffix array."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 1)
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = letters(160)
+    rows = [(k, letters(rng.randint(0, 50)) + passage + letters(120)) for k in range(300)]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows[k : k + 100]]) for k in (0, 100, 200)]
+    met = pa.Table.from_batches(suffix_dedup.meet(pa.Table.from_batches(suffix_dedup.scan(batches)).sort_by([(c, "ascending") for c in ("anchor", "whole", "doc", "start")]).combine_chunks().to_batches(500))).to_pylist()
+    wanted = collections.defaultdict(list)
+    for r in met:
+        if r["classes"]:
+            wanted[r["doc"]].append({k: r[k] for k in ("anchor", "start", "count", "classes")})
+    cut = pa.Table.from_batches([x for k in (0, 100, 200) for x in suffix_dedup.cutter()([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "wanted": wanted[i]} for i, t in rows[k : k + 100] if i in wanted])])])
+    rows_with_bytes = collections.Counter(r["bytes"] for r in cut.to_pylist() if r["bytes"])
+    assert len(rows_with_bytes) > 300 and max(rows_with_bytes.values()) <= 3
+    monkeypatch.setattr(suffix_dedup, "repeats_in", lambda *_: pytest.fail("a suffix array of equal windows"))
+    order = [(c, "ascending") for c in ("kind", "shard", "doc", "start")]
+    runs = pa.Table.from_batches(suffix_dedup.compare(cut.sort_by(order).combine_chunks().to_batches(50))).to_pylist()
+    runs += [r for r in met if not r["classes"]]
+    gone = {(r["doc"], s) for r in runs for s in range(r["start"], r["start"] + r["count"])}
+    seen, want = set(), set()
+    for i, t in rows:
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                want.add((i, s))
+            seen.add(t[s : s + 100])
+    assert gone == want and len(want) >= 61 * 299
+
+
+def test_windows_of_one_hash_and_different_bytes():
+    earliest = suffix_dedup.Earliest()
+    a, b = np.full(100, 97, np.uint8), np.full(100, 98, np.uint8)
+    ask = lambda *rows: earliest.later(*(np.array([r[k] for r in rows]) for k in range(3)), np.stack([r[3] for r in rows])).tolist()
+    assert ask((1, 1, 0, a), (1, 1, 5, b), (1, 2, 0, a), (2, 1, 7, a), (2, 1, 7, a)) == [False, False, True, False, False]
+    assert ask((2, 3, 0, a), (2, 3, 1, b), (2, 4, 1, b), (3, 0, 0, b)) == [True, False, True, False]
