@@ -1,6 +1,7 @@
 """Suffix-array dedup: removal of every byte that a LENGTH-byte string covers which also starts earlier.
 
-Where a string starts is (doc_id, byte); matches never cross documents. Three steps:
+Where a string starts is (doc_id, hash of the text, byte), so that rows of one doc_id or none but different texts are documents of
+their own, called (doc, tie) below; matches never cross documents. Three steps:
 
 1. Every start of LENGTH bytes belongs to the anchor of its window: the GRAM-byte string in it of the least hash, the leftmost of
    equal ones. Equal windows have equal anchors at equal places, so starts that can match meet if they are grouped by anchor. The
@@ -37,7 +38,7 @@ WINDOWS = 500_000
 #: Rows of one anchor that are held at once.
 HELD = 2_000_000
 _SPAN = LENGTH - GRAM + 1
-#: Rows with a null doc_id count as the first document.
+#: Rows with a null doc_id come first.
 NULL_ID = -(2**63)
 
 
@@ -78,54 +79,58 @@ def snippets(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return rows[head], first - offsets[rows[head]], count, hashes[at[head]], whole
 
 
-def ids_of(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column("doc").to_numpy().astype(np.int64), batch.column("tie").to_numpy()
+
+
+def place_hash(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return X.mix(doc.view(np.uint64) * X.MULTIPLIERS[0] + tie.view(np.uint64) * X.MULTIPLIERS[1] + start.astype(np.uint64))
 
 
 def scan(batches):
     """Snippet rows. Of equal snippets of a batch only the first goes on as open; the others are repeats already."""
     for batch in batches:
-        ids = ids_of(batch)
-        got = [(ids[row + r], a, c, anchor, whole) for row, _, buffer, offsets in X.slices(*X.text_bytes(batch.column("text"))) for r, a, c, anchor, whole in [snippets(buffer, offsets)]]
+        ids, ties = ids_of(batch)
+        got = [(ids[row + r], ties[row + r], a, c, anchor, whole) for row, _, buffer, offsets in X.slices(*X.text_bytes(batch.column("text"))) for r, a, c, anchor, whole in [snippets(buffer, offsets)]]
         if not got:
             continue
-        doc, a, c, anchor, whole = (np.concatenate(x) for x in zip(*got, strict=True))
+        doc, tie, a, c, anchor, whole = (np.concatenate(x) for x in zip(*got, strict=True))
         if not len(doc):
             continue
         both = whole ^ X.mix(anchor)
-        order = np.lexsort((a, doc, both))
+        order = np.lexsort((a, tie, doc, both))
         new = np.ones(len(doc), bool)
         new[1:] = both[order][1:] != both[order][:-1]
         head = order[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
         open_ = np.empty(len(doc), bool)
-        open_[order] = (doc[order] == doc[head]) & (a[order] == a[head])
+        open_[order] = (doc[order] == doc[head]) & (tie[order] == tie[head]) & (a[order] == a[head])
         # A repeat needs no comparison: it is dealt by a hash of its place, so that frequent anchors don't meet in one task.
-        anchor = np.where(open_, anchor, X.mix(doc.view(np.uint64) * X.MULTIPLIERS[0] + a.astype(np.uint64)))
-        arrays = [pa.array(X.as_long(anchor)), pa.array(X.as_long(whole)), pa.array(doc), pa.array(a.astype(np.int32)), pa.array(c.astype(np.int16)), pa.array(open_)]
-        yield pa.RecordBatch.from_arrays(arrays, ["anchor", "whole", "doc", "start", "count", "open"])
+        anchor = np.where(open_, anchor, place_hash(doc, tie, a))
+        arrays = [pa.array(X.as_long(anchor)), pa.array(X.as_long(whole)), pa.array(doc), pa.array(tie), pa.array(a.astype(np.int32)), pa.array(c.astype(np.int16)), pa.array(open_)]
+        yield pa.RecordBatch.from_arrays(arrays, ["anchor", "whole", "doc", "tie", "start", "count", "open"])
 
 
 def meet(batches):
-    """From snippets in the order (anchor, whole, doc, start): the repeats, and of each anchor with several distinct snippets the first of each.
+    """From snippets in the order (anchor, whole, doc, tie, start): the repeats, and of each anchor with several distinct snippets the first of each.
 
     classes is 0 for a repeat, else the number of distinct snippets of the anchor. An anchor of more than HELD rows is not held
     until it ends: what was read of it is given out as crowded, and the first row of its last snippet stays for those that follow.
     """
-    names = ["anchor", "whole", "doc", "start", "count", "open"]
+    names = ["anchor", "whole", "doc", "tie", "start", "count", "open"]
     join = lambda rows: [np.concatenate([x[k] for x in rows]) for k in range(len(names))]
 
     def settle(rows: list[np.ndarray], crowded: bool = False):
-        anchor, whole, doc, start, count, open_ = rows
+        anchor, whole, doc, tie, start, count, open_ = rows
         fresh, edge = np.ones(len(anchor), bool), np.ones(len(anchor), bool)
         edge[1:] = anchor[1:] != anchor[:-1]
         fresh[1:] = edge[1:] | (whole[1:] != whole[:-1])
         head = np.maximum.accumulate(np.where(fresh, np.arange(len(anchor)), 0))
-        later = (doc != doc[head]) | (start != start[head]) | ~open_
+        later = (doc != doc[head]) | (tie != tie[head]) | (start != start[head]) | ~open_
         of = np.cumsum(edge) - 1
         classes = np.bincount(of, fresh & open_)[of].astype(np.int64)
         keep = later | (fresh & (classes > 1))
         classes = np.where(later, 0, CROWD + 1 if crowded else classes)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, doc, start, count, classes)], ["anchor", "doc", "start", "count", "classes"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, doc, tie, start, count, classes)], ["anchor", "doc", "tie", "start", "count", "classes"])
 
     held: list = []
     size, spilling = 0, False
@@ -165,57 +170,57 @@ SNIPPET, WINDOW, REPEAT = 0, 1, 2
 _PIECE = 20_000
 
 
-def runs_of(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first start, count) of the runs of consecutive starts."""
-    order = np.lexsort((start, doc))
-    d, s = doc[order], start[order]
+def runs_of(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, tie, first start, count) of the runs of consecutive starts."""
+    order = np.lexsort((start, tie, doc))
+    d, t, s = doc[order], tie[order], start[order]
     new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
+    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + 1)
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(d))[: len(head)] - 1
-    return d[head], s[head], s[last] - s[head] + 1
+    return d[head], t[head], s[head], s[last] - s[head] + 1
 
 
-def distinct_windows(buffer: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_windows(buffer: np.ndarray, first: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each window, which are the earliest of their bytes here, which are repeats of those). Bytes are compared, not only hashes."""
     view = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)
     weights = X.powers(X.BASE, LENGTH)[:LENGTH]
     pieces = range(0, len(first), _PIECE)
     hashes = np.concatenate([X.mix((X.BYTE_VALUES[view[first[at : at + _PIECE]]] * weights).sum(1, dtype=np.uint64)) for at in pieces])
-    order = np.lexsort((start, doc, hashes))
+    order = np.lexsort((start, tie, doc, hashes))
     new = np.ones(len(order), bool)
     new[1:] = hashes[order][1:] != hashes[order][:-1]
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     same = np.concatenate([(view[first[order[at : at + _PIECE]]] == view[first[head[at : at + _PIECE]]]).all(1) for at in pieces])
     open_, later = np.empty(len(order), bool), np.empty(len(order), bool)
     open_[order] = new | ~same
-    later[order] = same & ((doc[order] != doc[head]) | (start[order] != start[head]))
+    later[order] = same & ((doc[order] != doc[head]) | (tie[order] != tie[head]) | (start[order] != start[head]))
     return hashes, open_, later
 
 
 def cutter():
-    """The bytes asked for: rows (kind, shard, doc, start, count, bytes). Starts of crowded anchors are windows of their own, or repeats already (without bytes)."""
+    """The bytes asked for: rows (kind, shard, doc, tie, start, count, bytes). Starts of crowded anchors are windows of their own, or repeats already (without bytes)."""
 
-    def rows_of(kind, shard, doc, start, count, pieces):
+    def rows_of(kind, shard, doc, tie, start, count, pieces):
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(doc), kind, np.int8)), pa.array(shard), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pieces],
-            ["kind", "shard", "doc", "start", "count", "bytes"],
+            [pa.array(np.full(len(doc), kind, np.int8)), pa.array(shard), pa.array(doc), pa.array(tie), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pieces],
+            ["kind", "shard", "doc", "tie", "start", "count", "bytes"],
         )
 
-    def pieces_of(kind, buffer, shard, doc, start, count, first):
+    def pieces_of(kind, buffer, shard, doc, tie, start, count, first):
         size = count + LENGTH - 1
         for at in range(0, len(doc), _PIECE):
             part = slice(at, at + _PIECE)
             ends = np.concatenate([[0], np.cumsum(size[part])])
             take = np.arange(ends[-1]) + np.repeat(first[part] - ends[:-1], size[part])
             pieces = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(buffer[take].tobytes())])
-            yield rows_of(kind, shard[part], doc[part], start[part], count[part], pieces)
+            yield rows_of(kind, shard[part], doc[part], tie[part], start[part], count[part], pieces)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = ids_of(batch)
+            ids, ties = ids_of(batch)
             buffer, offsets = X.text_bytes(batch.column("text"))
             wanted = batch.column("wanted")
             flat = wanted.flatten()
@@ -224,7 +229,7 @@ def cutter():
             start, count = start.astype(np.int64), count.astype(np.int64)
             crowded = classes > CROWD
             few = ~crowded
-            yield from pieces_of(SNIPPET, buffer, anchor[few], ids[row[few]], start[few], count[few], offsets[row[few]] + start[few])
+            yield from pieces_of(SNIPPET, buffer, anchor[few], ids[row[few]], ties[row[few]], start[few], count[few], offsets[row[few]] + start[few])
             row, start, count = row[crowded], start[crowded], count[crowded]
             turn = np.cumsum(count) // WINDOWS
             for k in np.unique(turn):
@@ -232,47 +237,47 @@ def cutter():
                 each = count[here]
                 place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 r, s = np.repeat(row[here], each), np.repeat(start[here], each) + place
-                doc, first = ids[r], offsets[r] + s
-                hashes, open_, later = distinct_windows(buffer, first, doc, s)
-                yield from pieces_of(WINDOW, buffer, X.as_long(hashes[open_]), doc[open_], s[open_], np.ones(int(open_.sum()), np.int64), first[open_])
-                d, s, c = runs_of(doc[later], s[later])
+                doc, tie, first = ids[r], ties[r], offsets[r] + s
+                hashes, open_, later = distinct_windows(buffer, first, doc, tie, s)
+                yield from pieces_of(WINDOW, buffer, X.as_long(hashes[open_]), doc[open_], tie[open_], s[open_], np.ones(int(open_.sum()), np.int64), first[open_])
+                d, t, s, c = runs_of(doc[later], tie[later], s[later])
                 if len(d):
                     # A repeat needs no comparison: it is dealt by a hash of its place.
-                    shard = X.as_long(X.mix(d.view(np.uint64) * X.MULTIPLIERS[0] + s.astype(np.uint64)))
-                    yield rows_of(REPEAT, shard, d, s, c, pa.array([b""] * len(d), pa.binary()))
+                    shard = X.as_long(place_hash(d, t, s))
+                    yield rows_of(REPEAT, shard, d, t, s, c, pa.array([b""] * len(d), pa.binary()))
 
     return run
 
 
-def repeats_in(t: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of all starts of LENGTH bytes in the snippets of t that are not the earliest of their class."""
+def repeats_in(t: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray, count: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, tie, start) of all starts of LENGTH bytes in the snippets of t that are not the earliest of their class."""
     sa = suffix_array(t)
     shared = permuted_common_prefixes(t, sa)
     klass = np.empty(len(t), np.int64)
     klass[sa] = np.cumsum(shared[sa] < LENGTH)
     snippet = np.repeat(np.arange(len(count)), count)
     within = np.arange(len(snippet)) - np.repeat(np.cumsum(count) - count, count)
-    k, d, s = klass[bounds[:-1][snippet] + within], doc[snippet], start[snippet] + within
-    order = np.lexsort((s, d, k))
-    k, d, s = k[order], d[order], s[order]
+    k, d, e, s = klass[bounds[:-1][snippet] + within], doc[snippet], tie[snippet], start[snippet] + within
+    order = np.lexsort((s, e, d, k))
+    k, d, e, s = k[order], d[order], e[order], s[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-    later = (d != d[head]) | (s != s[head])
-    return d[later], s[later]
+    later = (d != d[head]) | (e != e[head]) | (s != s[head])
+    return d[later], e[later], s[later]
 
 
 class Earliest:
-    """Repeats among windows in the order (shard, doc, start). Only the earliest place of each window of the shard at hand is held."""
+    """Repeats among windows in the order (shard, doc, tie, start). Only the earliest place of each window of the shard at hand is held."""
 
     def __init__(self):
         self.shard, self.seen = None, {}
 
-    def later(self, shard: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    def later(self, shard: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
         new = np.ones(len(shard), bool)
         new[1:] = shard[1:] != shard[:-1]
         head = np.maximum.accumulate(np.where(new, np.arange(len(shard)), 0))
-        out = (doc != doc[head]) | (start != start[head])
+        out = (doc != doc[head]) | (tie != tie[head]) | (start != start[head])
         # Shards that go on from the batch before or hold windows of different bytes are gone through one by one.
         slow = ~(windows == windows[head]).all(1)
         group = np.cumsum(new) - 1
@@ -283,52 +288,52 @@ class Earliest:
         for k in np.flatnonzero(slow):
             if shard[k] != self.shard:
                 self.shard, self.seen = shard[k], {}
-            place = (doc[k], start[k])
+            place = (doc[k], tie[k], start[k])
             out[k] = self.seen.setdefault(windows[k].tobytes(), place) != place
         return out
 
 
 def compare(batches):
-    """Repeats (doc, start, count) from rows in the order (kind, shard, doc, start): suffix arrays of whole shards of snippets, several small
+    """Repeats (doc, tie, start, count) from rows in the order (kind, shard, doc, tie, start): suffix arrays of whole shards of snippets, several small
     ones at a time; windows one after another; repeats as they are."""
     held: list = []
     size = 0
     earliest = Earliest()
 
-    def given(doc, start, count):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["doc", "start", "count"])
+    def given(doc, tie, start, count):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["doc", "tie", "start", "count"])
 
     def settle(rows):
-        doc, start, count, t = (np.concatenate([x[k] for x in rows]) for k in range(1, 5))
+        doc, tie, start, count, t = (np.concatenate([x[k] for x in rows]) for k in range(1, 6))
         count = count.astype(np.int64)
-        return given(*runs_of(*repeats_in(t, doc, start.astype(np.int64), count, np.concatenate([[0], np.cumsum(count + LENGTH - 1)]))))
+        return given(*runs_of(*repeats_in(t, doc, tie, start.astype(np.int64), count, np.concatenate([[0], np.cumsum(count + LENGTH - 1)]))))
 
     for whole_batch in batches:
         kinds = whole_batch.column("kind").to_numpy()
         bounds = np.searchsorted(kinds, [SNIPPET, WINDOW, REPEAT, REPEAT + 1])
         batch, windows, repeats = (whole_batch.slice(a, b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
         if repeats.num_rows:
-            yield repeats.select(["doc", "start", "count"])
+            yield repeats.select(["doc", "tie", "start", "count"])
         if windows.num_rows:
-            shard, doc, start = (windows.column(c).to_numpy() for c in ("shard", "doc", "start"))
-            later = earliest.later(shard, doc, start, _bytes(windows.column("bytes")).reshape(-1, LENGTH))
-            yield given(*runs_of(doc[later], start[later]))
+            shard, doc, tie, start = (windows.column(c).to_numpy() for c in ("shard", "doc", "tie", "start"))
+            later = earliest.later(shard, doc, tie, start, _bytes(windows.column("bytes")).reshape(-1, LENGTH))
+            yield given(*runs_of(doc[later], tie[later], start[later]))
         if not batch.num_rows:
             continue
-        rows = [batch.column(c).to_numpy() for c in ("shard", "doc", "start", "count")]
+        rows = [batch.column(c).to_numpy() for c in ("shard", "doc", "tie", "start", "count")]
         rows.append(_bytes(batch.column("bytes")))
         held.append(rows)
-        size += len(rows[4])
+        size += len(rows[5])
         if size < SHARD_BYTES:
             continue
         shard = np.concatenate([x[0] for x in held])
         cut = int(np.searchsorted(shard, shard[-1]))
         if cut:
-            whole = [np.concatenate([x[k] for x in held]) for k in range(5)]
-            at = int((whole[3][:cut].astype(np.int64) + LENGTH - 1).sum())
-            yield settle([[x[:cut] for x in whole[:4]] + [whole[4][:at]]])
-            held = [[x[cut:] for x in whole[:4]] + [whole[4][at:]]]
-            size = len(held[0][4])
+            whole = [np.concatenate([x[k] for x in held]) for k in range(6)]
+            at = int((whole[4][:cut].astype(np.int64) + LENGTH - 1).sum())
+            yield settle([[x[:cut] for x in whole[:5]] + [whole[5][:at]]])
+            held = [[x[cut:] for x in whole[:5]] + [whole[5][at:]]]
+            size = len(held[0][5])
     if held:
         yield settle(held)
 
@@ -381,24 +386,26 @@ def remover(keep: list[str], output: str):
 def dedup(docs: DataFrame, tables: Tables, keep: list[str] | None = None, output: str = "kept_bytes") -> DataFrame:
     """The kept columns (None: all but text) plus n_bytes, n_removed, n_spans and the output (kept_bytes, kept_text or kept_sha256), a row for each row.
 
-    A null text is empty. Texts under LENGTH bytes lose nothing. Rows that repeat a doc_id are one document: starts at the same byte of it
-    are not earlier than each other. Null doc_ids are one document before all others. No rows in, no rows out. Columns named
+    A null text is empty. Texts under LENGTH bytes lose nothing. Rows that repeat a doc_id and its text are one document: starts at the same
+    byte of it are not earlier than each other. Rows of one doc_id with different texts are documents in the order of the texts' hashes;
+    those without a doc_id come before all others. No rows in, no rows out. Columns named
     like an added one are replaced.
     """
-    made = {"n_bytes", "n_removed", "n_spans", output, "runs", "wanted", "doc", "text"}
+    made = {"n_bytes", "n_removed", "n_spans", output, "runs", "wanted", "doc", "tie", "text"}
     keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in made]
     rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "doc_id", "text"])])
-    found = rows.select("doc_id", "text").mapInArrow(scan, "anchor long, whole long, doc long, start int, count smallint, open boolean")
-    met = tables.cut(found.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc", "start").mapInArrow(meet, "anchor long, doc long, start int, count smallint, classes long"))
-    named = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
-    wanted = met.where("classes > 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "count", "classes")).alias("wanted"))
-    cut = named.join(wanted, "doc").select("doc_id", "text", "wanted").mapInArrow(cutter(), "kind byte, shard long, doc long, start int, count int, bytes binary")
-    compared = cut.repartition("shard").sortWithinPartitions("kind", "shard", "doc", "start").mapInArrow(compare, "doc long, start int, count int")
-    runs = met.where("classes = 0").select("doc", "start", F.col("count").cast("int").alias("count")).unionByName(compared)
-    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    named = rows.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "tie": F.xxhash64("text")})
+    found = named.select("doc", "tie", "text").mapInArrow(scan, "anchor long, whole long, doc long, tie long, start int, count smallint, open boolean")
+    met = found.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc", "tie", "start")
+    met = tables.cut(met.mapInArrow(meet, "anchor long, doc long, tie long, start int, count smallint, classes long"))
+    wanted = met.where("classes > 0").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "start", "count", "classes")).alias("wanted"))
+    cut = named.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(cutter(), "kind byte, shard long, doc long, tie long, start int, count int, bytes binary")
+    compared = cut.repartition("shard").sortWithinPartitions("kind", "shard", "doc", "tie", "start").mapInArrow(compare, "doc long, tie long, start int, count int")
+    runs = met.where("classes = 0").select("doc", "tie", "start", F.col("count").cast("int").alias("count")).unionByName(compared)
+    runs = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     kinds = dict(docs.dtypes)
     last = f"{output} {'binary' if output == 'kept_bytes' else 'string'}"
-    return named.join(runs, "doc", "left").select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], "runs").mapInArrow(
+    return named.join(runs, ["doc", "tie"], "left").select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], "runs").mapInArrow(
         remover(keep, output), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long", last])
     )
 

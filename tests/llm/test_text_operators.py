@@ -309,17 +309,17 @@ def test_suffix_dedup_of_a_passage_that_many_share(spark, monkeypatch):
     letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
     passage = letters(160)
     rows = [(k, letters(rng.randint(0, 50)) + passage + letters(120)) for k in range(300)]
-    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows[k : k + 100]]) for k in (0, 100, 200)]
-    met = pa.Table.from_batches(suffix_dedup.meet(pa.Table.from_batches(suffix_dedup.scan(batches)).sort_by([(c, "ascending") for c in ("anchor", "whole", "doc", "start")]).combine_chunks().to_batches(500))).to_pylist()
+    batches = [pa.RecordBatch.from_pylist([{"doc": i, "tie": 0, "text": t} for i, t in rows[k : k + 100]]) for k in (0, 100, 200)]
+    met = pa.Table.from_batches(suffix_dedup.meet(pa.Table.from_batches(suffix_dedup.scan(batches)).sort_by([(c, "ascending") for c in ("anchor", "whole", "doc", "tie", "start")]).combine_chunks().to_batches(500))).to_pylist()
     wanted = collections.defaultdict(list)
     for r in met:
         if r["classes"]:
             wanted[r["doc"]].append({k: r[k] for k in ("anchor", "start", "count", "classes")})
-    cut = pa.Table.from_batches([x for k in (0, 100, 200) for x in suffix_dedup.cutter()([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "wanted": wanted[i]} for i, t in rows[k : k + 100] if i in wanted])])])
+    cut = pa.Table.from_batches([x for k in (0, 100, 200) for x in suffix_dedup.cutter()([pa.RecordBatch.from_pylist([{"doc": i, "tie": 0, "text": t, "wanted": wanted[i]} for i, t in rows[k : k + 100] if i in wanted])])])
     rows_with_bytes = collections.Counter(r["bytes"] for r in cut.to_pylist() if r["bytes"])
     assert len(rows_with_bytes) > 300 and max(rows_with_bytes.values()) <= 3
     monkeypatch.setattr(suffix_dedup, "repeats_in", lambda *_: pytest.fail("a suffix array of equal windows"))
-    order = [(c, "ascending") for c in ("kind", "shard", "doc", "start")]
+    order = [(c, "ascending") for c in ("kind", "shard", "doc", "tie", "start")]
     runs = pa.Table.from_batches(suffix_dedup.compare(cut.sort_by(order).combine_chunks().to_batches(50))).to_pylist()
     runs += [r for r in met if not r["classes"]]
     gone = {(r["doc"], s) for r in runs for s in range(r["start"], r["start"] + r["count"])}
@@ -335,6 +335,22 @@ def test_suffix_dedup_of_a_passage_that_many_share(spark, monkeypatch):
 def test_windows_of_one_hash_and_different_bytes():
     earliest = suffix_dedup.Earliest()
     a, b = np.full(100, 97, np.uint8), np.full(100, 98, np.uint8)
-    ask = lambda *rows: earliest.later(*(np.array([r[k] for r in rows]) for k in range(3)), np.stack([r[3] for r in rows])).tolist()
+    ask = lambda *rows: (rows := [(*r, 0) for r in rows]) and earliest.later(*(np.array([r[k] for r in rows]) for k in (0, 1, 4, 2)), np.stack([r[3] for r in rows])).tolist()
     assert ask((1, 1, 0, a), (1, 1, 5, b), (1, 2, 0, a), (2, 1, 7, a), (2, 1, 7, a)) == [False, False, True, False, False]
     assert ask((2, 3, 0, a), (2, 3, 1, b), (2, 4, 1, b), (3, 0, 0, b)) == [True, False, True, False]
+
+
+@pytest.mark.parametrize("crowd", [20_000, 1])
+def test_suffix_dedup_of_rows_of_one_id_or_none(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, other = letters(100), letters(130)
+    texts = [(None, letters(100) + passage + letters(100)), (None, letters(700) + passage + letters(200)), (None, None), (None, letters(50)), (5, other + letters(170)), (5, letters(600) + other), (6, letters(300) + passage + other)]
+    rows = [(i, t, None, None, None) for i, t in texts]
+    got = sorted((len(r.kept_bytes), bytes(r.kept_bytes), r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(docs(spark, rows), Tables(spark, "t"), ["doc_id"]).collect())
+    hashes = [r[0] for r in docs(spark, rows).select(F.xxhash64("text")).collect()]
+    place = sorted(range(len(rows)), key=lambda k: (texts[k][0] is not None, texts[k][0] or 0, hashes[k]))
+    want = without_repeats([(n, texts[k][1]) for n, k in enumerate(place)])
+    assert sorted((a, hashlib.sha256(b).hexdigest(), n, gone) for a, b, n, gone in got) == sorted((n - gone, digest, n, gone) for n, gone, _, digest in want.values())
+    assert sum(g[3] for g in got) == 100 + 130 + 230
