@@ -34,9 +34,21 @@ def usable(vector: str) -> Column:
     return x.isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def nearest_of_each(ids: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The place of the smallest distance of each id."""
+    order = np.lexsort((far, ids))
+    new = np.ones(len(order), bool)
+    new[1:] = ids[order][1:] != ids[order][:-1]
+    return order[new]
+
+
 def nearest_in_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, distance) of the k nearest found in the block for each query; a vector of the query's own id doesn't count."""
+    """(query row, vector row, distance) of the k nearest found in the block for each query; a vector of the query's own id doesn't count.
+
+    An id that several vectors have counts once, at the nearest of them, also towards the k of the block's end.
+    """
     n, dim = x.shape
+    repeated = len(np.unique(ids)) < n
     directions = np.random.Generator(np.random.PCG64(dim)).normal(size=(dim, PROJECTIONS))
     projected = (x @ directions).T
     order = np.argsort(projected, axis=1, kind="stable")
@@ -65,11 +77,15 @@ def nearest_in_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.nd
             if len(fresh):
                 # Dot products choose few; their distances are then computed as such.
                 rough = norms[fresh] - 2 * (x[fresh] @ q[row])
-                if len(fresh) > k:
-                    limit = np.partition(rough, k - 1)[k - 1]
+                least = rough[nearest_of_each(ids[fresh], rough)] if repeated else rough
+                if len(least) > k:
+                    limit = np.partition(least, k - 1)[k - 1]
                     fresh = fresh[rough <= limit + slack]
                 at = np.concatenate([at, fresh])
                 far = np.concatenate([far, np.sqrt(((x[fresh] - q[row]) ** 2).sum(1))])
+                if repeated:
+                    once = nearest_of_each(ids[at], far)
+                    at, far = at[once], far[once]
                 if len(at) > k:
                     best = np.lexsort((ids[at], far))[:k]
                     at, far = at[best], far[best]
@@ -105,10 +121,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_: str = "vec_id
     queries or candidates there are no rows. Other columns are not read.
     """
     given = vectors.where(F.col(id_).isNotNull() & usable(vector)).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    sizes = given.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
+    # Repeated rows go before they are dealt: they would meet in one block.
+    sizes = given.groupBy("id", F.xxhash64("vector").alias("v")).agg(F.max("asks").alias("asks")).agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
     blocks, chunks = max(1, math.ceil(sizes["n"] / BLOCK)), max(1, math.ceil(sizes["q"] / CHUNK))
     deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id", "vector"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    given = given.groupBy("id", "vector").agg(F.max("asks").alias("asks"))
     stored = given.select("id", "vector", F.lit(False).alias("is_query"), deal(blocks, "block").alias("block"), every(chunks).alias("chunk"))
     asked = given.where("asks").select("id", "vector", F.lit(True).alias("is_query"), deal(chunks, "chunk").alias("chunk"), every(blocks).alias("block"))
     met = stored.unionByName(asked).withColumn("size", F.size("vector"))

@@ -123,6 +123,21 @@ def test_neighbours(spark):
     assert ann.search(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.Generator(np.random.PCG64(6))
+    x = rng.normal(size=(600, 8))
+    once = [(k, v.tolist()) for k, v in enumerate(x)]
+    schema = "vec_id long, embedding array<double>"
+    ask = lambda rows: sorted(tuple(r) for r in ann.search(spark.createDataFrame(rows, schema), F.col("vec_id") % 100 == 0).collect())
+    want = ask(once)
+    assert len(want) == 60 and ask(once * 2) == want and ask(once + once[1:2] * 900) == want
+    # One id with many different vectors near a query takes one of its ten places.
+    near = [(7, (x[0] + 1e-3 * rng.normal(size=8)).tolist()) for _ in range(40)]
+    got = [r[2] for r in ask(once + near) if r[0] == 0]
+    far = np.sqrt(((x - x[0]) ** 2).sum(1))
+    assert got[0] == 7 and len(got) == 10 and got[1:] == [k for k in np.argsort(far) if k not in (0, 7)][:9]
+
+
 def test_pipeline_stages(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
