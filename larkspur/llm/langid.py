@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnp as X
@@ -40,7 +40,7 @@ def held_out(doc_id: str = "doc_id"):
 def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, label numbers and languages, from rows that are not held out: at most train_docs rows reach the driver.
 
-    Languages get even shares; within a language those rows are taken whose hash is smallest. A row gives the windows at
+    Languages get even shares, and one with fewer rows than its share gives all; within a language those rows are taken whose hash is smallest. A row gives the windows at
     places that its hash picks: one, or several where there are few rows.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -56,10 +56,12 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, n
     each = max(1, min(MOST_WINDOWS, int(train_docs / sum(min(share, r["count"]) for r in counts))))
     turn = F.explode(F.sequence(F.lit(0), F.lit(each - 1)))
     place = F.pmod(F.xxhash64(mark, "turn"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "turn", "cut"))
     rows = (
         usable.where(chosen).select("lang", "text", "doc_id", unit.alias("u"), turn.alias("turn"))
-        .select("lang", "u", "turn", F.substring(F.col("text"), (place + 1).cast("int"), WINDOW).alias("cut"))
-        .orderBy("u", "turn").limit(train_docs).collect()
+        .select("lang", "doc_id", "u", "turn", F.substring(F.col("text"), (place + 1).cast("int"), WINDOW).alias("cut"))
+        .withColumn("rank", rank).where(F.col("rank") <= max(1, int(share)) * each)
+        .orderBy("u", "doc_id", "turn", "cut").limit(train_docs).collect()
     )
     langs = sorted({r["lang"] for r in rows})
     windows = np.zeros((len(rows), WINDOW), np.uint8)

@@ -354,3 +354,14 @@ def test_suffix_dedup_of_rows_of_one_id_or_none(spark, monkeypatch, crowd):
     want = without_repeats([(n, texts[k][1]) for n, k in enumerate(place)])
     assert sorted((a, hashlib.sha256(b).hexdigest(), n, gone) for a, b, n, gone in got) == sorted((n - gone, digest, n, gone) for n, gone, _, digest in want.values())
     assert sum(g[3] for g in got) == 100 + 130 + 230
+
+
+def test_language_sample_is_even(spark):
+    rows = [(k, f"text number {k} of many", "a" if k % 60 else "rare", None, None) for k in range(1, 24_000)]
+    rows += [(30_000 + k, f"text number {k} of some", f"l{k % 10}", None, None) for k in range(20_000)]
+    given = docs(spark, rows)
+    _, labels, langs = langid.sample(given, 2_400)
+    count = dict(zip(langs, np.bincount(labels).tolist()))
+    have = {r.lang: r["count"] for r in given.where(~langid.held_out()).groupBy("lang").count().collect()}
+    assert len(count) == 12 and len(labels) <= 2_400
+    assert have["rare"] > 200 and all(170 <= count[k] <= 200 for k in count), count
