@@ -1,4 +1,4 @@
-"""Chat formatting, HTML extraction, neighbour search and the pipeline against brute force and SQL."""
+"""Chat formatting, neighbour search and the pipeline against brute force and SQL."""
 
 import hashlib
 import os
@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import ann, chat, html_extract, langid, minhash, mixing, queries, sentencepiece_ops, suffix_dedup
+from larkspur.llm import ann, chat, langid, minhash, mixing, queries, sentencepiece_ops, suffix_dedup
 from larkspur.llm.common import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -49,54 +49,6 @@ def test_chat_is_reversible(spark):
     assert "".join(r.formatted for r in flat).startswith("<s>") and chat.format_chats(turns.limit(0)).count() == 0
 
 
-PAGE = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">Accept</div><%s><h1>Head &amp; %d</h1><p>One<b>two</b>%d x<br>y\n z<p>Last &eacute;&#233; %d<script>var a="</p>";</script></%s><aside>Side</aside><section id="comments"><p>Reader</p></section><form>Name</form><footer>&copy; %d</footer></body></html>'
-
-
-def test_html(spark):
-    rows = [(k, f"http://h{k % 3}.example.com/{k}", PAGE % (tag := "article" if k % 3 else "div", k, k, k, tag, k)) for k in range(9)]
-    rows += [(20, "http://alone.example.com/", PAGE % ("main", 20, 20, 20, "main", 20)), (21, None, None), (22, "nothing", ""), (23, "http://h1.example.com/x", "<p>bare"), (24, "http://h1.example.com/c", PAGE[:60])]
-    given = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(given).collect()}
-    for k in [*range(9), 20]:
-        want = f"Head & {k} Onetwo{k} x y z Last éé {k}"
-        assert got[k] == (want, len(want)), k
-    assert got[21] == ("", 0) and got[22] == ("", 0) and got[23][0] == "bare" and len(got) == len(rows)
-    assert html_extract.extract(given.limit(0)).count() == 0
-
-
-def test_html_template_from_all_pages(spark):
-    page = "<body><div class='c'><p>%s</p><p>story %d has words of its own</p><p>%s</p></div></body>"
-    rows = [(k, "http://one.example.com/", page % ("Follow this site" if k != 7 else "Welcome", k, "Often said" if k % 2 else f"said {k}")) for k in range(40)]
-    rows += [(100 + k, "http://two.example.com/", rows[0][2]) for k in range(5)]
-    given = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
-    got = {r.page_id: r.text for r in html_extract.extract(given).collect()}
-    for k in range(40):
-        said = "Often said" if k % 2 else f"said {k}"
-        assert got[k] == ("Welcome " if k == 7 else "") + f"story {k} has words of its own {said}", k
-    assert got[100] == got[104] == "Follow this site story 0 has words of its own said 0"
-
-
-def test_html_of_odd_shape():
-    text = lambda page: html_extract.apply(page, None, frozenset(), None)
-    assert text("<article>" + "<div>a" * 3_000 + "</div>z" * 10).split() == ["a"] * 3_000 + ["z"] * 10
-    wide = "<article>" + "<p>x" * 20_000
-    assert text(wide) == " ".join(["x"] * 20_000)
-    tree = html_extract.parse(wide)
-    nodes = html_extract.with_text(tree)
-    same = sum(html_extract.agreement(tree, nodes, p) for p in (wide + "<p>y", "<a <b <c", "<!-- open"))
-    assert html_extract.induce(wide, same, 3) == ("#/article", [])
-    assert text("<p title='>never closed") == ""
-    assert text("<article><nav>" + "<div>" * 400 + "menu</nav>text</article>") == "text"
-
-
-def test_tree_matching():
-    a, b = html_extract.parse("<div><p>1</p><p>2</p><ul><li>x</ul></div>"), html_extract.parse("<div><h1>n</h1><p>1</p><ul><li>x<li>y</ul></div>")
-    found = html_extract.match(a, b)
-    div = a.children()[0]
-    p, q, ul = div.children()
-    assert id(div) in found and (id(p) in found) != (id(q) in found) and id(ul) in found
-
-
 def test_neighbours(spark):
     rng = np.random.Generator(np.random.PCG64(4))
     centres = rng.normal(size=(20, 16))
