@@ -4,7 +4,7 @@ Sketch. A set's elements are thrown into COORDINATES bins in rounds. In round i
 value, in round COORDINATES + b all elements go to bin b; a bin keeps the least (round, value) it saw. Rounds end for a set once all of its
 bins are filled, so every coordinate is filled after at most twice as many rounds as there are bins, usually two or three.
 
-Links. Documents of equal sets are one node. Nodes that agree on all coordinates of a band share a bucket. In a bucket the
+Links. Documents of equal words are one node (by a cryptographic hash of the words). Nodes that agree on all coordinates of a band share a bucket. In a bucket the
 smallest node is compared with all others, by their full sets, and components are formed. Where a bucket then holds several
 components, the nodes outside its largest one are compared with all of its nodes: in a bucket of at most FEW nodes as pairs, in a larger one in
 blocks, where a product of incidence matrices counts the shared shingles of all pairs of two blocks and only links that join
@@ -14,6 +14,8 @@ or already connected.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,7 +47,7 @@ def shingle_sets(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     """Hashes of the distinct shingles of each row, ascending within the row, and the index of each row's first."""
     lowered = X.LOWER[buffer]
     starts, ends, first = X.words(lowered, offsets)
-    hashes = X.span_hashes(X.prefix_hashes(lowered), starts, ends)
+    hashes = X.span_hashes(lowered, starts, ends)
     rows = X.rows_of(first)
     n = np.diff(first)
     parts, owners = [], []
@@ -79,6 +81,24 @@ def shingle_sets(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return values[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
 
 
+def exact_set(text: bytes) -> frozenset:
+    """The shingles themselves."""
+    w = text.lower().split()
+    return frozenset(zip(*(w[k:] for k in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else frozenset([tuple(w)] if w else [])
+
+
+def reach(a: frozenset, b: frozenset, percent: int) -> bool:
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def digests(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows, 2) halves of a cryptographic hash of each row's lowered words in order."""
+    raw = buffer.tobytes()
+    found = [hashlib.blake2b(b" ".join(raw[a:b].lower().split()), digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+
+
 def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(rows, COORDINATES) of (round << 32 | value); rows without elements keep all bits set."""
     t = COORDINATES
@@ -113,25 +133,24 @@ def sketcher(rows: int):
 
     def run(batches):
         for batch in batches:
-            size, one, two, keys = [], [], [], []
+            size, halves, keys = [], [], []
             for _, _, buffer, offsets in X.slices(*X.text_bytes(batch.column("text"))):
                 values, bounds = shingle_sets(buffer, offsets)
                 size.append(np.diff(bounds))
-                one.append(X.per_row(np.uint64, X.mix(values ^ X.SEEDS[0]), bounds))
-                two.append(X.per_row(np.uint64, X.mix(values ^ X.SEEDS[1]), bounds))
+                halves.append(digests(buffer, offsets))
                 keys.append(band_keys(sketches(values, bounds), rows))
             if not size:
                 continue
-            size, keys = np.concatenate(size).astype(np.int64), np.concatenate(keys)
+            size, keys, halves = np.concatenate(size).astype(np.int64), np.concatenate(keys), np.concatenate(halves)
             flat = pa.array(X.as_long(np.ascontiguousarray(keys)).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(X.as_long(np.concatenate(one))), pa.array(X.as_long(np.concatenate(two))), lists], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), lists], ["doc_id", "n_shingles", "h1", "h2", "bands"])
 
     return run
 
 
 def verifier(percent: int):
-    """Pairs that reach the threshold, from rows in the order (u, salt, kind): a centre (kind 0), then those to compare with it."""
+    """Pairs that reach the threshold, from rows in the order (u, salt, kind): a centre (kind 0), then those to compare with it. Hashes refuse, the shingles themselves confirm."""
 
     def run(batches):
         group, centres = None, []
@@ -145,16 +164,21 @@ def verifier(percent: int):
                     at = row + k
                     if group != (u[at], salt[at]):
                         group, centres = (u[at], salt[at]), []
+                    text = buffer[offsets[k] : offsets[k + 1]]
                     if kind[at] == 0:
-                        centres.append(own.copy())
+                        centres.append((own.copy(), text.tobytes(), []))
                         continue
-                    for centre in centres:
+                    for centre, centre_text, centre_set in centres:
                         if 100 * min(len(own), len(centre)) < percent * max(len(own), len(centre)) or not len(centre):
                             continue
                         place = np.searchsorted(centre, own)
                         place[place == len(centre)] = 0
                         both = int((centre[place] == own).sum())
-                        if 100 * both >= percent * (len(own) + len(centre) - both):
+                        if 100 * both < percent * (len(own) + len(centre) - both):
+                            continue
+                        if not centre_set:
+                            centre_set.append(exact_set(centre_text))
+                        if reach(exact_set(text.tobytes()), centre_set[0], percent):
                             found.append((int(u[at]), int(node[at])))
                             break
             if found:
@@ -268,20 +292,25 @@ def block_links(percent: int):
         shared = shared.astype(np.int64)
         union = size[rows[0]][:, None] + size[rows[1]][None] - shared
         i, j = np.nonzero((100 * shared >= percent * union) & (label[rows[0]][:, None] != label[rows[1]][None]))
-        links = np.unique(np.stack([np.minimum(label[rows[0]][i], label[rows[1]][j]), np.maximum(label[rows[0]][i], label[rows[1]][j])], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
         parent: dict[int, int] = {}
+        sets: dict[int, frozenset] = {}
 
         def top(x: int) -> int:
             while parent.get(x, x) != x:
                 x = parent[x]
             return x
 
+        def set_of(row: int) -> frozenset:
+            if row not in sets:
+                sets[row] = exact_set((column[row].as_py() or "").encode())
+            return sets[row]
+
         kept = []
-        for u, v in links.tolist():
-            a, b = top(u), top(v)
-            if a != b:
+        for x, y in zip(rows[0][i].tolist(), rows[1][j].tolist(), strict=True):
+            a, b = top(int(label[x])), top(int(label[y]))
+            if a != b and reach(set_of(x), set_of(y), percent):
                 parent[max(a, b)] = min(a, b)
-                kept.append((u, v))
+                kept.append((min(int(label[x]), int(label[y])), max(int(label[x]), int(label[y]))))
         return pa.table({"u": pa.array([u for u, _ in kept], pa.int64()), "v": pa.array([v for _, v in kept], pa.int64())})
 
     return run

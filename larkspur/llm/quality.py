@@ -8,6 +8,8 @@ documents lie, read off a histogram of all of their scores; a document is kept i
 
 from __future__ import annotations
 
+import collections
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +42,7 @@ def ngram_buckets(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     return single, pair
 
 
-def repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def repeated_words(hashes: np.ndarray, first: np.ndarray, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """By row, the words in WINDOW-word windows that the text holds more than once."""
     rows = X.rows_of(first)
     n = len(hashes) - WINDOW + 1
@@ -50,19 +52,34 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     for k in range(WINDOW):
         key += hashes[k : k + n] * X.MULTIPLIERS[k]
     key = X.mix(key)
-    whole = rows[:n] == rows[WINDOW - 1 :]
-    inside = np.sort(key[whole])
-    twice = np.unique(inside[1:][inside[1:] == inside[:-1]])
-    if not len(twice):
+    whole = np.flatnonzero(rows[:n] == rows[WINDOW - 1 :])
+    order = whole[np.argsort(key[whole], kind="stable")]
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
+    again = np.flatnonzero(~new)
+    if not len(again):
         return np.zeros(len(first) - 1, np.int64)
-    at = np.flatnonzero(whole & (twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key))
+    at, of = order[again], order[head[again]]
+    sizes = ends - starts
+    same = rows[at] == rows[of]
+    for k in range(WINDOW):
+        same &= sizes[at + k] == sizes[of + k]
+        same[same] = X.equal_spans(buffer, starts[at[same] + k], starts[of[same] + k], sizes[at[same] + k])
+    at = np.union1d(at[same], of[same])
     cover = np.zeros(len(hashes) + 1, np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + WINDOW, -1)
-    return X.per_row(np.int64, np.cumsum(cover)[:-1] > 0, first)
+    out = X.per_row(np.int64, np.cumsum(cover)[:-1] > 0, first)
+    for row in np.unique(rows[order[again[~same]]]):  # different windows of one hash: counted word by word
+        own = [buffer[a:b].tobytes() for a, b in zip(starts[first[row] : first[row + 1]], ends[first[row] : first[row + 1]], strict=True)]
+        windows = [tuple(own[k : k + WINDOW]) for k in range(len(own) - WINDOW + 1)]
+        times = collections.Counter(windows)
+        out[row] = len({k + j for k, w in enumerate(windows) if times[w] > 1 for j in range(WINDOW)})
+    return out
 
 
-def duplicate_lines(buffer: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, word_starts: np.ndarray) -> np.ndarray:
+def duplicate_lines(buffer: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray) -> np.ndarray:
     """By row, the lines with a word that equal an earlier line of the text."""
     breaks = np.flatnonzero(buffer == 10)
     starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
@@ -72,24 +89,34 @@ def duplicate_lines(buffer: np.ndarray, offsets: np.ndarray, prefix: np.ndarray,
     starts, ends = starts[with_word], ends[with_word]
     ends = ends - (buffer[ends - 1] == 10)
     rows = np.searchsorted(offsets, starts, "right") - 1
-    hashes = X.span_hashes(prefix, starts, ends) + (ends - starts).astype(np.uint64)
+    hashes = X.span_hashes(buffer, starts, ends)
     order = np.lexsort((hashes, rows))
-    same = (hashes[order][1:] == hashes[order][:-1]) & (rows[order][1:] == rows[order][:-1])
-    return np.bincount(rows[order][1:][same], minlength=len(offsets) - 1)
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (rows[order][1:] != rows[order][:-1])
+    again = np.flatnonzero(~new)
+    if not len(again):
+        return np.zeros(len(offsets) - 1, np.int64)
+    at, of = order[again], order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[again]]
+    same = (ends - starts)[at] == (ends - starts)[of]
+    same[same] = X.equal_spans(buffer, starts[at[same]], starts[of[same]], (ends - starts)[at[same]])
+    out = np.bincount(rows[at], minlength=len(offsets) - 1)
+    for row in np.unique(rows[at[~same]]):  # different lines of one hash: compared as such
+        own = [buffer[a:b].tobytes() for a, b in zip(starts[rows == row], ends[rows == row], strict=True)]
+        out[row] = len(own) - len(set(own))
+    return out
 
 
 def _slices(batch: pa.RecordBatch):
     for row, end, buffer, offsets in X.slices(*X.text_bytes(batch.column("text"))):
         starts, ends, first = X.words(buffer, offsets)
-        prefix = X.prefix_hashes(buffer)
-        yield row, end, buffer, offsets, starts, first, prefix, X.span_hashes(prefix, starts, ends)
+        yield row, end, buffer, offsets, starts, ends, first, X.span_hashes(buffer, starts, ends)
 
 
 def _count(batches):
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         trusted = np.asarray(batch.column("trusted").to_numpy(zero_copy_only=False), bool)
-        for row, end, _, _, _, first, _, hashes in _slices(batch):
+        for row, end, _, _, _, _, first, hashes in _slices(batch):
             single, pair = ngram_buckets(hashes, first)
             own = trusted[row:end][X.rows_of(first)]
             for grams in (single, pair):
@@ -102,7 +129,7 @@ def _score(weights: np.ndarray):
     def run(batches):
         for batch in batches:
             got = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")}
-            for _, _, buffer, offsets, starts, first, prefix, hashes in _slices(batch):
+            for _, _, buffer, offsets, starts, ends, first, hashes in _slices(batch):
                 single, pair = ngram_buckets(hashes, first)
                 n = np.diff(first)
                 grams = n + np.maximum(n - 1, 0)
@@ -110,8 +137,8 @@ def _score(weights: np.ndarray):
                 got["n_words"].append(n)
                 got["word_chars"].append(X.per_row(np.int64, _LEAD_IN_WORD[buffer], offsets))
                 got["n_symbols"].append(X.per_row(np.int64, SYMBOLS[buffer], offsets))
-                got["n_dup_lines"].append(duplicate_lines(buffer, offsets, prefix, starts))
-                got["n_repeat_words"].append(repeated_words(hashes, first))
+                got["n_dup_lines"].append(duplicate_lines(buffer, offsets, starts))
+                got["n_repeat_words"].append(repeated_words(hashes, first, buffer, starts, ends))
                 got["score"].append(np.round(total / np.maximum(grams, 1) / STEP) * STEP)
             columns = [pa.array(np.concatenate(v).astype(np.float64 if k == "score" else np.int64)) if v else pa.array([], pa.float64() if k == "score" else pa.int64()) for k, v in got.items()]
             kept = [c for c in batch.schema.names if c not in {"text", "trusted"}]

@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding: Viterbi over all words of many texts at once.
 
 A text gets a space in front and is cut into words before each run of spaces; no piece crosses such a cut, so words are
-segmented by themselves and equal words once. Words of equal length in bytes advance together: all their substrings of one length are
-hashed at once and looked up among the sorted hashes of the pieces; for each end the best start is a maximum over the lengths,
-stored as the backpointer. A segmentation's score is the sum of its pieces' scores.
+segmented by themselves and equal words once. The substrings of all words are hashed length by length and looked up among the sorted hashes of
+the pieces (found pieces are compared byte by byte). Where no piece found crosses a place between two bytes, a word falls into parts
+that are segmented by themselves too; long words without spaces, as in Chinese, become many short parts so. Parts of equal length advance
+together: for each end the best start is a maximum over the lengths, stored as the backpointer. A very long part goes on from block to block
+with the best scores of the last places carried over.
 
 The vocabulary file orders pieces by rank and has no log probabilities, so a piece of rank r scores -log(r + 2.7) minus the log of
-their sum, as by Zipf's law. A byte that no piece covers becomes a byte piece. Encoding loses nothing: a space is the piece character U+2581, a
-literal U+2581 is spelled in bytes, and `decode` gives back every text exactly.
+their sum, as by Zipf's law, in whole units of 1 / UNIT. A segmentation's score is the sum of its pieces' scores; of equal sums that one counts whose last piece is
+shorter, and so on from the end. A byte that no piece covers becomes a byte piece. Encoding loses nothing: a space is the piece character
+U+2581, a literal U+2581 is spelled in bytes, and `decode` gives back every text exactly.
 """
 
 from __future__ import annotations
@@ -20,15 +23,29 @@ from . import textnp as X
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words of more bytes are segmented one by one.
-LONGEST_TOGETHER = 64
 SLICE_BYTES = 1 << 20
 #: How much worse than the worst piece an uncovered character is.
 PENALTY = 10.0
-_MAYBE = 1 << 20
+#: Scores are whole numbers of this part, so that sums are exact in any order.
+UNIT = 1 << 24
+#: Scores of a block (lengths x places x parts).
+CELLS = 2_000_000
+_NEVER = -(2**62)
+_MAYBE = 1 << 22
+_STEP = np.uint64(0x9FB21C651E98DF25)
 _loaded = {}
 
 
+def longer(hashes: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one byte longer."""
+    out = (hashes ^ X.BYTE_VALUES[byte]) * _STEP
+    return out ^ (out >> np.uint64(32))
+
+
+def low_bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(_MAYBE - 1)).astype(np.int64)
+
+
 class Vocabulary:
     """Pieces by id: bytes (spaces for U+2581), scores, and tables for lookup by hash."""
 
@@ -37,20 +54,32 @@ class Vocabulary:
         raw = -np.log(np.arange(len(pieces)) + 2.7)
         raw = raw - np.log(np.exp(raw).sum())
         self.ids = np.array([i for i, _ in pieces], np.int32)
-        self.scores = raw
-        self.by_bytes = {b: (s, i) for (i, b), s in zip(pieces, raw.tolist(), strict=True)}
-        self.longest = max((len(b) for _, b in pieces), default=1)
+        self.scores = np.rint(raw * UNIT).astype(np.int64)
         self.byte_ids = byte_ids.astype(np.int32)
-        self.uncovered = float(raw.min() if len(raw) else 0) - PENALTY
+        self.uncovered = int(self.scores.min() if len(pieces) else 0) - int(PENALTY * UNIT)
+        sizes = np.array([len(b) for _, b in pieces], np.int64)
+        self.longest = int(sizes.max()) if len(pieces) else 1
         joined = np.frombuffer(b"".join(b for _, b in pieces), np.uint8)
-        ends = np.cumsum([len(b) for _, b in pieces])
-        keys = X.span_hashes(X.prefix_hashes(joined), np.concatenate([[0], ends[:-1]]), ends)
-        order = np.argsort(keys)
-        self.keys, self.key_scores, self.key_ids = keys[order], raw[order].astype(np.float32), self.ids[order]
-        if len(np.unique(keys)) != len(keys):
-            raise ValueError("two pieces have one hash")
-        self.maybe = np.zeros(_MAYBE, bool)
-        self.maybe[(keys % np.uint64(_MAYBE)).astype(np.int64)] = True
+        starts = np.cumsum(sizes) - sizes
+        #: Which low bits of a hash some piece, or some beginning of a piece, of each length has.
+        self.maybe_piece, self.maybe_more = np.zeros(_MAYBE, bool), np.zeros(_MAYBE, bool)
+        self.keys: list = [None]  # by length: sorted hashes, and the pieces that have them
+        hashes, left = np.zeros(len(pieces), np.uint64), np.arange(len(pieces))
+        for n in range(1, self.longest + 1):
+            left = left[sizes[left] >= n]
+            hashes[left] = longer(hashes[left], joined[starts[left] + n - 1])
+            own = left[sizes[left] == n]
+            order = own[np.argsort(hashes[own], kind="stable")]
+            if len(np.unique(hashes[own])) < len(own):
+                raise ValueError("two pieces have one hash")
+            self.keys.append((hashes[order], order))
+            self.maybe_piece[low_bits(hashes[own])] = True
+            self.maybe_more[low_bits(hashes[left[sizes[left] > n]])] = True
+        #: The pieces' bytes in blocks of 8, filled with zeros.
+        wide = np.zeros((len(pieces), 8 * -(-self.longest // 8)), np.uint8)
+        for k, (_, b) in enumerate(pieces):
+            wide[k, : len(b)] = np.frombuffer(b, np.uint8)
+        self.blocks = wide.view("<u8")
         spelled = [b""] * size
         for i, b in pieces:
             spelled[i] = b
@@ -76,68 +105,118 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def segment_together(vocabulary: Vocabulary, prefix: np.ndarray, buffer: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words of one length, as (words, length) filled from the right, and how many each has."""
+def found_pieces(vocabulary: Vocabulary, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, piece) of all pieces in the words of text; ends: the end of each byte's word."""
+    wide = np.concatenate([text, np.zeros(8, np.uint8)])
+    at8 = np.ndarray(len(text) + 1, "<u8", wide, strides=(1,))
+    at, hashes = np.arange(len(text)), np.zeros(len(text), np.uint64)
+    got = []
+    for n in range(1, vocabulary.longest + 1):
+        fits = at + n <= ends[at]
+        at, hashes = at[fits], hashes[fits]
+        if not len(at):
+            break
+        hashes = longer(hashes, text[at + n - 1])
+        bits = low_bits(hashes)
+        keys, pieces = vocabulary.keys[n]
+        hit = np.flatnonzero(vocabulary.maybe_piece[bits])
+        if len(hit) and len(keys):
+            place = np.minimum(np.searchsorted(keys, hashes[hit]), len(keys) - 1)
+            same = keys[place] == hashes[hit]
+            hit, piece = hit[same], pieces[place[same]]
+            same = np.ones(len(hit), bool)
+            for block in range(-(-n // 8)):
+                filled = min(8, n - 8 * block)
+                mask = np.uint64((1 << (8 * filled)) - 1)
+                same &= (at8[at[hit] + 8 * block] & mask) == vocabulary.blocks[piece, block]
+            got.append((at[hit[same]], np.full(int(same.sum()), n), piece[same]))
+        more = vocabulary.maybe_more[bits]
+        at, hashes = at[more], hashes[more]
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 3
+
+
+def segment_together(vocabulary: Vocabulary, text: np.ndarray, starts: np.ndarray, length: int, part: np.ndarray, end: np.ndarray, n: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """(length + 1, parts): at the end of each piece of the best segmentations its length, else 0.
+
+    starts: of parts of one length in text. part, end, n, score: the pieces found in them.
+    """
     m, most = len(starts), min(length, vocabulary.longest)
-    at = starts[None, :] + np.arange(length + 1)[:, None]
-    sums, inverse = prefix[at], X.powers(X.INVERSE, len(prefix))[at]
-    text = buffer[at[:-1]]
-    score = np.full((most, length + 1, m), -np.inf, np.float32)
-    piece = np.zeros((most, length + 1, m), np.int32)
-    score[0, 1:] = np.where(X.IS_LEAD[text], np.float32(vocabulary.uncovered), np.float32(0))
-    piece[0, 1:] = vocabulary.byte_ids[text]
-    for n in range(1, most + 1):
-        h = X.mix((sums[n:] - sums[:-n]) * inverse[: length + 1 - n])
-        hit = np.flatnonzero(vocabulary.maybe[(h & np.uint64(_MAYBE - 1)).astype(np.int64)].ravel())
-        probe = h.ravel()[hit]
-        place = np.minimum(np.searchsorted(vocabulary.keys, probe), len(vocabulary.keys) - 1)
-        found = vocabulary.keys[place] == probe
-        hit, place = hit[found], place[found]
-        score[n - 1, n:].reshape(-1)[hit] = vocabulary.key_scores[place]
-        piece[n - 1, n:].reshape(-1)[hit] = vocabulary.key_ids[place]
-    best = np.full((length + 1, m), -np.inf, np.float32)
+    best = np.full((length + 1, m), _NEVER, np.int64)
     best[0] = 0
-    back = np.zeros((length + 1, m), np.int64)
-    for end in range(1, length + 1):
-        n = min(end, most)
-        sum_ = best[end - n : end][::-1] + score[:n, end]
-        back[end] = sum_.argmax(0)
-        best[end] = np.take_along_axis(sum_, back[end][None], 0)[0]
-    ids = np.zeros((m, length), np.int32)
-    count = np.zeros(m, np.int64)
+    back = np.zeros((length + 1, m), np.int16)
+    width = max(1, CELLS // (most * m))
+    if width < length:
+        by_end = np.argsort(end, kind="stable")
+        part, end, n, score = part[by_end], end[by_end], n[by_end], score[by_end]
+    for low in range(0, length, width):
+        high = min(length, low + width)
+        scores = np.full((most, high - low, m), _NEVER, np.int64)
+        scores[0] = np.where(X.IS_LEAD[text[starts[None, :] + np.arange(low, high)[:, None]]], vocabulary.uncovered, 0)
+        a, b = np.searchsorted(end, [low, high], "right") if width < length else (0, len(end))
+        scores[n[a:b] - 1, end[a:b] - 1 - low, part[a:b]] = score[a:b]
+        for e in range(low + 1, high + 1):
+            k = min(e, most)
+            sums = best[e - k : e][::-1] + scores[:k, e - 1 - low]
+            step = sums.argmax(0)
+            back[e] = step + 1
+            best[e] = np.take_along_axis(sums, step[None], 0)[0]
+    kept = np.zeros((length + 1, m), np.int16)
     where, live = np.full(m, length), np.arange(m)
     while len(live):
-        n = back[where[live], live]
-        count[live] += 1
-        ids[live, length - count[live]] = piece[n, where[live], live]
-        where[live] -= n + 1
+        own = back[where[live], live]
+        kept[where[live], live] = own
+        where[live] -= own
         live = live[where[live] > 0]
-    return ids, count
-
-
-def segment_alone(vocabulary: Vocabulary, word: bytes) -> list[int]:
-    """The same for one word of any length."""
-    best, back = [0.0] + [-np.inf] * len(word), [(0, 0)] * (len(word) + 1)
-    get, most = vocabulary.by_bytes.get, vocabulary.longest
-    for end in range(1, len(word) + 1):
-        value = word[end - 1]
-        top, step = best[end - 1] + (vocabulary.uncovered if (value & 0xC0) != 0x80 else 0.0), (1, int(vocabulary.byte_ids[value]))
-        for start in range(max(0, end - most), end):
-            found = get(word[start:end])
-            if found and best[start] + found[0] > top:
-                top, step = best[start] + found[0], (end - start, found[1])
-        best[end], back[end] = top, step
-    out, at = [], len(word)
-    while at:
-        out.append(back[at][1])
-        at -= back[at][0]
-    return out[::-1]
+    return kept
+
+
+def segment(vocabulary: Vocabulary, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of text, one after another, and the bounds of each word's ids; bounds: of the words, none of them empty."""
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    start, n, piece = found_pieces(vocabulary, text, ends)
+    over = n > 1
+    crossed = np.bincount(start[over] + 1, minlength=len(text) + 1)[: len(text) + 1] - np.bincount(start[over] + n[over], minlength=len(text) + 1)[: len(text) + 1]
+    free = np.cumsum(crossed)[:-1] == 0
+    cuts = np.flatnonzero(free)
+    size = np.diff(np.append(cuts, len(text)))
+    of = (np.cumsum(free) - 1)[start]
+    by_size, hits_by_size = _by_size(size), _by_size(size[of])
+    edges = np.append(np.flatnonzero(np.diff(size[by_size], prepend=0)), len(size))
+    hit_edges = np.searchsorted(size[of[hits_by_size]], size[by_size[edges[:-1]]])
+    place = np.empty(len(size), np.int64)  # in its group
+    place[by_size] = np.arange(len(size)) - np.repeat(edges[:-1], np.diff(edges))
+    token = np.zeros(len(text) + 1, np.int16)
+    for a, b, x, y in zip(edges[:-1], edges[1:], hit_edges, np.append(hit_edges[1:], len(of)), strict=True):
+        length = int(size[by_size[a]])
+        if length == 1:
+            token[cuts[by_size[a:b]] + 1] = 1
+            continue
+        step = max(1, CELLS // (min(length, vocabulary.longest) * min(length, 512)))
+        for low in range(0, b - a, step):
+            hits = hits_by_size[x:y]
+            if b - a > step:
+                hits = hits[(place[of[hits]] >= low) & (place[of[hits]] < low + step)]
+            at = cuts[by_size[a + low : min(b, a + low + step)]]
+            end = start[hits] + n[hits] - cuts[of[hits]]
+            kept = segment_together(vocabulary, text, at, length, place[of[hits]] - low, end, n[hits], vocabulary.scores[piece[hits]])
+            token[at[None, :] + np.arange(1, length + 1)[:, None]] = kept[1:]
+    stop = np.flatnonzero(token)
+    taken = np.full(len(text) + 1, -1, np.int32)
+    used = token[start + n] == n
+    taken[(start + n)[used]] = piece[used]
+    own = taken[stop]
+    ids = np.where(own >= 0, vocabulary.ids[own], vocabulary.byte_ids[text[stop - 1]])
+    return ids, np.searchsorted(stop, bounds, "right")
+
+
+def _by_size(size: np.ndarray) -> np.ndarray:
+    """The order by size; small numbers are sorted by their digits."""
+    return np.argsort(size.astype(np.uint16) if len(size) and size.max() < 1 << 16 else size, kind="stable")
 
 
 def encode_texts(vocabulary: Vocabulary, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the rows, one after another, and the bounds of each row's ids."""
-    n = np.diff(offsets)
-    some = n > 0
+    some = np.diff(offsets) > 0
     fronted = np.insert(buffer, offsets[:-1][some], 32)
     bounds = offsets + np.concatenate([[0], np.cumsum(some)])
     space = fronted == 32
@@ -145,37 +224,21 @@ def encode_texts(vocabulary: Vocabulary, buffer: np.ndarray, offsets: np.ndarray
     head[1:] &= ~space[:-1]
     head[bounds[:-1][some]] = True
     starts = np.flatnonzero(head)
-    ends = np.append(starts[1:], len(fronted))
-    prefix = X.prefix_hashes(fronted)
-    _, first, of = np.unique(X.span_hashes(prefix, starts, ends), return_index=True, return_inverse=True)
-    s, size = starts[first], (ends - starts)[first]
-    parts, places = [], np.zeros(len(s), np.int64)
-    count = np.zeros(len(s), np.int64)
-    base = 0
-    order = np.argsort(size, kind="stable")
-    cuts = np.flatnonzero(np.diff(size[order])) + 1
-    for group in np.split(order, cuts) if len(order) else []:
-        length = int(size[group[0]])
-        if length <= LONGEST_TOGETHER:
-            step = max(1, 40_000_000 // (min(length, vocabulary.longest) * (length + 1) * 40))
-            for k in range(0, len(group), step):
-                own = group[k : k + step]
-                ids, c = segment_together(vocabulary, prefix, fronted, s[own], length)
-                parts.append(ids.ravel())
-                places[own] = base + np.arange(1, len(own) + 1) * length - c
-                count[own] = c
-                base += ids.size
-        else:
-            for w in group:
-                ids = segment_alone(vocabulary, fronted[s[w] : s[w] + length].tobytes())
-                parts.append(np.array(ids, np.int32))
-                places[w], count[w] = base, len(ids)
-                base += len(ids)
-    pool = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    each = count[of]
-    ends_ = np.concatenate([[0], np.cumsum(each)])
-    ids = pool[np.arange(ends_[-1]) + np.repeat(places[of] - ends_[:-1], each)]
-    return ids, ends_[np.searchsorted(starts, bounds)]
+    if not len(starts):
+        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+    size = np.diff(np.append(starts, len(fronted)))
+    _, first, of = np.unique(X.span_hashes(fronted, starts, starts + size), return_index=True, return_inverse=True)
+    same = size == size[first[of]]
+    same[same] = X.equal_spans(fronted, starts[same], starts[first[of[same]]], size[same])
+    odd = np.flatnonzero(~same)  # words of one hash and different bytes
+    of[odd] = len(first) + np.arange(len(odd))
+    first = np.concatenate([first, odd])
+    ends = np.concatenate([[0], np.cumsum(size[first])])
+    pool, at = segment(vocabulary, fronted[np.arange(ends[-1]) + np.repeat(starts[first] - ends[:-1], size[first])], ends)
+    each = np.diff(at)[of]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    ids = pool[np.arange(ends[-1]) + np.repeat(at[:-1][of] - ends[:-1], each)]
+    return ids, ends[np.searchsorted(starts, bounds)]
 
 
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

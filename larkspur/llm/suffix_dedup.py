@@ -38,6 +38,7 @@ WINDOWS = 500_000
 #: Rows of one anchor that are held at once.
 HELD = 2_000_000
 _SPAN = LENGTH - GRAM + 1
+_PIECE = 20_000
 #: Rows with a null doc_id come first.
 NULL_ID = -(2**63)
 
@@ -49,9 +50,8 @@ def snippets(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if n < LENGTH:
         return none
     prefix = X.prefix_hashes(buffer)
-    grams = np.arange(n - GRAM + 1)
-    hashes = X.span_hashes(prefix, grams, grams + GRAM)
-    key = (hashes & np.uint64(0xFFFFFFFF00000000)) | grams.astype(np.uint64)
+    hashes = X.window_hashes(prefix, GRAM)
+    key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(n - GRAM + 1, dtype=np.uint64)
     width = 1
     while 2 * width <= _SPAN:
         key = np.minimum(key[: len(key) - width], key[width:])
@@ -75,7 +75,7 @@ def snippets(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(starts)))
     first = starts[head]
-    whole = X.span_hashes(prefix, first, first + count + LENGTH - 1) + count.astype(np.uint64)
+    whole = np.concatenate([X.span_hashes(buffer, first[k : k + _PIECE], (first + count)[k : k + _PIECE] + LENGTH - 1) for k in range(0, len(first), _PIECE)])
     return rows[head], first - offsets[rows[head]], count, hashes[at[head]], whole
 
 
@@ -167,7 +167,6 @@ def meet(batches):
 
 
 SNIPPET, WINDOW, REPEAT = 0, 1, 2
-_PIECE = 20_000
 
 
 def runs_of(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:

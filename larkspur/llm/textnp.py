@@ -25,6 +25,7 @@ _random = np.random.Generator(np.random.PCG64(20240611))
 BYTE_VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 #: Odd multipliers for combining hashes by position.
 MULTIPLIERS = _random.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+_FILLED = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 SEEDS = _random.integers(1, 2**63, 1024, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
@@ -86,15 +87,56 @@ def words(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def prefix_hashes(buffer: np.ndarray) -> np.ndarray:
-    """Sums of value(byte) * BASE ** place over all prefixes, modulo 2 ** 64."""
+    """Sums of value(byte) * BASE ** place over all prefixes, modulo 2 ** 64; only for `window_hashes`."""
     out = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[buffer] * powers(BASE, len(buffer))[: len(buffer)], out=out[1:])
     return out
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes in [start, end): equal bytes, equal hash, wherever they stand."""
-    return mix((prefix[ends] - prefix[starts]) * powers(INVERSE, len(prefix))[starts])
+def window_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of `size` bytes. Texts can be written whose windows collide, so equality of these decides no result."""
+    return mix((prefix[size:] - prefix[:-size]) * powers(INVERSE, len(prefix))[: len(prefix) - size])
+
+
+def _blocks(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 8-byte blocks of spans of at least one byte (the last one filled with zeros), their places in the span, and each span's first."""
+    each = (sizes + 7) >> 3
+    first = np.concatenate([[0], np.cumsum(each)])
+    place = np.arange(first[-1]) - np.repeat(first[:-1], each)
+    at = np.repeat(starts, each) + 8 * place
+    wide = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(wide) - 7, "<u8", wide, strides=(1,))[at]
+    last = first[1:] - 1
+    blocks[last] &= _FILLED[sizes - 8 * (each - 1)]
+    return blocks, place, first[:-1]
+
+
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes in [start, end): equal bytes, equal hash, wherever they stand.
+
+    Every block of 8 bytes is mixed with its place by itself before the sum, so that exchanging parts of a text changes the sum. Where
+    equality of hashes decides a result, bytes are compared too (`equal_spans`).
+    """
+    sizes = ends - starts
+    out = sizes.astype(np.uint64) * MULTIPLIERS[63]
+    some = np.flatnonzero(sizes > 0)
+    if len(some):
+        blocks, place, first = _blocks(buffer, starts[some], sizes[some])
+        most = int(place.max()) + 1
+        salt = mix(np.arange(most, dtype=np.uint64) * MULTIPLIERS[62] + MULTIPLIERS[61])
+        out[some] += np.add.reduceat(mix(blocks ^ salt[place]), first)
+    return mix(out)
+
+
+def equal_spans(buffer: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from one equal those from two."""
+    out = np.ones(len(sizes), bool)
+    some = np.flatnonzero(sizes > 0)
+    if len(some):
+        a, _, first = _blocks(buffer, one[some], sizes[some])
+        b, _, _ = _blocks(buffer, two[some], sizes[some])
+        out[some] = np.logical_and.reduceat(a == b, first)
+    return out
 
 
 def rows_of(bounds: np.ndarray) -> np.ndarray:
@@ -103,7 +145,9 @@ def rows_of(bounds: np.ndarray) -> np.ndarray:
 
 
 def per_row(kind, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums by row of values that lie in row order."""
+    """Sums by row of values that lie in row order; a row's sum depends on nothing but its own values."""
+    if kind is np.float64:
+        return np.bincount(rows_of(bounds), values, len(bounds) - 1)
     total = np.zeros(len(values) + 1, kind)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]

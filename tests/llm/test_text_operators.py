@@ -187,7 +187,7 @@ def test_quality_ratio_by_hand(spark):
     for i, t, *_ in rows:
         buffer = np.frombuffer(t.encode(), np.uint8)
         starts, ends, first = X.words(buffer, np.array([0, len(buffer)]))
-        single, pair = quality.ngram_buckets(X.span_hashes(X.prefix_hashes(buffer), starts, ends), first)
+        single, pair = quality.ngram_buckets(X.span_hashes(buffer, starts, ends), first)
         for b in [*single, *pair[pair >= 0]]:
             raw[b] += 1
             target[b] += i == 1
@@ -220,21 +220,105 @@ def test_language_tables_equal_the_network():
     assert np.allclose(net.distributions(windows, net.tables()), want, atol=1e-5)
 
 
-def test_pieces_round_trip_and_search(spark):
+def test_pieces_round_trip(spark):
     vocabulary = sentencepiece_ops.vocabulary(sentencepiece_ops.MODEL)
     rng = random.Random(8)
-    texts = [None, "", " ", "  two  spaces ", "a▁b", "\n\n", "é日本\x00𝄞 z", "w" * 300 + " q", " " * 500, "the thing, " * 3_000] + ["".join(rng.choice("abc de\n▁é") for _ in range(rng.randint(0, 80))) for _ in range(40)]
-    given = docs(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])
-    back = {r.doc_id: r.decoded for r in sentencepiece_ops.decode(sentencepiece_ops.encode(given, ["doc_id"]), ["doc_id"]).collect()}
+    texts = [None, "", " ", "  two  spaces ", "a▁b", "\n\n", "é日本\x00𝄞 z", "w" * 300 + " q", " " * 500, "the thing, " * 3_000, *thue_morse()]
+    texts += ["".join(rng.choice("abc de\n▁é") for _ in range(rng.randint(0, 80))) for _ in range(40)] + ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(9_000)), " ".join(thue_morse()), texts[3]]
+    given = docs(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]).withColumns({"ids": F.lit("clash"), "decoded": F.lit("clash")})
+    coded = sentencepiece_ops.encode(given, ["doc_id", "ids"])
+    assert coded.columns == ["doc_id", "ids"]
+    back = {r.doc_id: r.decoded for r in sentencepiece_ops.decode(coded.withColumn("decoded", F.lit("clash")), ["doc_id", "decoded"]).collect()}
     assert [back[k] for k in range(len(texts))] == texts
-    score = dict(zip(vocabulary.ids.tolist(), vocabulary.scores.tolist(), strict=True))
-    total = lambda ids: sum(score.get(i, 0.0) for i in ids)
-    for t in texts[3:]:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        together, _ = sentencepiece_ops.encode_texts(vocabulary, raw, np.array([0, len(raw)]))
-        alone = [i for w in re.findall(r" *[^ ]+| +\Z", " " + t) for i in sentencepiece_ops.segment_alone(vocabulary, w.encode())]
-        assert abs(total(together.tolist()) - total(alone)) < 1e-3 * (1 + len(alone))
-    assert sentencepiece_ops.encode(docs(spark, []), ["doc_id"]).count() == 0
+    assert all(r.spells_text or texts[r.doc_id] is None for r in sentencepiece_ops.query(spark, given).collect())
+    assert sentencepiece_ops.encode(docs(spark, []), ["doc_id"]).count() == 0 and sentencepiece_ops.decode(coded.limit(0), ["doc_id"]).count() == 0
+    assert vocabulary.longest > 8
+
+
+@pytest.mark.parametrize("cells", [2_000_000, 40])
+def test_segmentation_is_the_best_of_all(monkeypatch, cells):
+    """Against a search over all segmentations, with pieces of equal scores, uncovered characters and, at few cells, parts cut into blocks."""
+    monkeypatch.setattr(sentencepiece_ops, "CELLS", cells)
+    rng = random.Random(cells)
+    for trial in range(60):
+        alphabet = rng.choice(["a", "ab", "abé"])
+        pieces = sorted({"".join(rng.choice(alphabet + " ") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 9))} - {" "})
+        pieces = [x for x in pieces if " " not in x[1:]] or ["a"]
+        rng.shuffle(pieces)
+        coded = [(256 + k, x.encode()) for k, x in enumerate(pieces)]
+        v = sentencepiece_ops.Vocabulary(coded, np.arange(256), 256 + len(pieces))
+        if trial % 2:
+            v.scores[:] = v.scores[0]  # many ties
+        score = {b: (int(s), i) for (i, b), s in zip(coded, v.scores)}
+        for _ in range(12):
+            word = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9)))
+            raw = word.encode()
+            got, _ = sentencepiece_ops.segment(v, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            best = None
+            for mask in range(1 << (len(raw) - 1)):
+                ends = [k + 1 for k in range(len(raw) - 1) if mask >> k & 1] + [len(raw)]
+                total, ids, sizes = 0, [], []
+                for x, y in zip([0, *ends], ends):
+                    part = raw[x:y]
+                    if part in score:
+                        total, ids = total + score[part][0], [*ids, score[part][1]]
+                    elif len(part) == 1:
+                        total, ids = total + (v.uncovered if part[0] & 0xC0 != 0x80 else 0), [*ids, part[0]]
+                    else:
+                        break
+                    sizes.append(y - x)
+                else:
+                    own = (total, [-n for n in reversed(sizes)], ids)
+                    best = max(best, own) if best else own
+            assert got.tolist() == best[2], (word, pieces)
+
+
+def thue_morse():
+    """Two words of 1,024 letters that any polynomial hash modulo a power of two confuses."""
+    bits = [bin(k).count("1") % 2 for k in range(1_024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    one, two = thue_morse()
+    rows = [(1, one, None, None, None), (2, two, None, None, None), (3, one + "\n" + two, None, None, None)]
+    got = {r.doc_id: r.component_id for r in minhash.link(docs(spark, rows), Tables(spark, "t"), 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3}
+    rated = {r.doc_id: r.n_dup_lines for r in quality.rate(docs(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int"), Tables(spark, "t")).collect()}
+    assert rated == {1: 0, 2: 0, 3: 0}
+
+
+def test_equal_hashes_of_different_bytes(spark, monkeypatch):
+    """With a hash that confuses nearly all, bytes still decide: lines, windows and words."""
+    real = X.span_hashes
+    poor = lambda buffer, starts, ends: real(buffer, starts, ends) % np.uint64(3)
+    monkeypatch.setattr(X, "span_hashes", poor)
+    rng = random.Random(4)
+    texts = ["\n".join(" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 4))) for _ in range(30)) for _ in range(8)]
+    raw = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    buffer = np.frombuffer(raw, np.uint8)
+    starts, ends, first = X.words(buffer, offsets)
+    dup = quality.duplicate_lines(buffer, offsets, starts)
+    again = quality.repeated_words(poor(buffer, starts, ends), first, buffer, starts, ends)
+    for k, t in enumerate(texts):
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        w = WORD.findall(t)
+        count = collections.Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+        assert dup[k] == len(lines) - len(set(lines))
+        assert again[k] == len({j + i for j in range(len(w) - 7) if count[tuple(w[j : j + 8])] > 1 for i in range(8)})
+    vocabulary = sentencepiece_ops.vocabulary(sentencepiece_ops.MODEL)
+    ids, bounds = sentencepiece_ops.encode_texts(vocabulary, buffer, offsets)
+    out, at = sentencepiece_ops.decode_ids(vocabulary, ids, bounds)
+    assert out.tobytes() == raw and at.tolist() == offsets.tolist()
+
+
+def test_scores_depend_on_the_text_alone():
+    rng = random.Random(2)
+    weights = np.random.Generator(np.random.PCG64(1)).normal(size=quality.BUCKETS)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(0, 300))) for _ in range(50)]
+    score = lambda rows: [x for b in quality._score(weights)(iter([pa.RecordBatch.from_pylist([{"doc_id": 1, "text": t, "trusted": False} for t in rows])])) for x in b.column("score").to_pylist()]
+    assert score(texts) == [score([t])[0] for t in texts]
 
 
 def test_sharding(spark):
