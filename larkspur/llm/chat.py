@@ -178,7 +178,11 @@ def digest_turns(path: str):
 
 
 def digest(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from ids and masks."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from ids and masks.
+
+    A conversation, the one with the null conv_id too, has one row; its turns are read in the order of seq, so that ties and repeated rows count each. Empty texts and roles
+    count as such. Long conversations are read turn by turn. No rows in, no rows out; other columns are not read.
+    """
     kind = dict(formatted.dtypes)["conv_id"]
     ordered = formatted.select("conv_id", "seq", F.length("formatted").cast("long").alias("formatted_chars"), "ids", "loss_mask").repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq")
     return ordered.mapInArrow(digest_turns(vocabulary), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

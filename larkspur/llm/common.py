@@ -28,7 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Tables:
-    """Intermediate results as Parquet in the shared folder: lineage ends there, and a lost executor loses nothing."""
+    """Intermediate results as Parquet in the shared folder: lineage ends there, and a lost executor loses nothing.
+
+    What no later plan reads can be dropped at once (`drop`, `clear`); the rest goes when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -40,16 +43,32 @@ class Tables:
         self.made += 1
         schema = df.schema
         df.write.parquet(path)
+        if self.made == 1:
+            folder, system = self._at(self.root)
+            system.deleteOnExit(folder)
         out = self.spark.read.schema(schema).parquet(path)
         out.larkspur_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df.larkspur_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            folder, system = self._at(df.larkspur_path)
+            system.delete(folder, True)
+
+    def clear(self) -> None:
+        """Delete all tables."""
+        folder, system = self._at(self.root)
+        system.delete(folder, True)
+
+    def _at(self, path: str) -> tuple:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def columns(df: DataFrame, besides: set[str] = frozenset()) -> list[str]:
+    """The columns that an operator passes on: not those that it makes itself, nor those with the reserved prefix __lk_."""
+    return [c for c in df.columns if c.lower() not in besides and not c.startswith("__lk_")]
 
 
 def partitions(spark: SparkSession) -> int:

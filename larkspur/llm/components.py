@@ -12,7 +12,10 @@ ONE_PARTITION = 200_000
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
-    """edges: u, v long -> (node, label): the smallest node reachable, for every node that is not the smallest of its component."""
+    """edges: u, v long -> (node, label): the smallest node reachable, for every node that is not the smallest of its component.
+
+    Edges may be repeated, in either direction, or lead to their own start; edges with a null end link nothing. No edges, no rows. Other columns are not read.
+    """
     table = tables.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
     mark = _mark(table)
     while mark[0]:

@@ -21,10 +21,9 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-#: The bound of the training sample, windows of a document where documents are few, and the most languages that are learned (the most frequent).
+#: The bound of the training sample (documents, all languages together), and windows of a document where documents are few.
 TRAIN_DOCS = 6_000
 MOST_WINDOWS = 8
-MOST_LANGS = 200
 EPOCHS = 14
 LEAST_STEPS = 400
 BATCH = 128
@@ -41,18 +40,18 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, n
     """Windows, label numbers and languages, from rows that are not held out: at most train_docs rows reach the driver.
 
     Languages get even shares, and one with fewer rows than its share gives all; within a language those rows are taken whose hash is smallest. A row gives the windows at
-    places that its hash picks: one, or several where there are few rows.
+    places that its hash picks: one, or several where there are few rows. All languages are learned, as long as the sample has a row for each.
+    Rows with a null text or lang are not learned from; ties of the hash are in the order of doc_id and text; no rows in, no languages out.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(train_docs).collect()
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     share = train_docs / len(counts)
     mark = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     unit = F.shiftrightunsigned(mark, 11).cast("double") / float(2**53)
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (unit < min(1.0, 1.1 * share / r["count"])))
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.1 * share / r["count"]))])
+    chosen = unit < F.element_at(rate, F.col("lang"))
     each = max(1, min(MOST_WINDOWS, int(train_docs / sum(min(share, r["count"]) for r in counts))))
     turn = F.explode(F.sequence(F.lit(0), F.lit(each - 1)))
     place = F.pmod(F.xxhash64(mark, "turn"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
@@ -188,7 +187,7 @@ def predictor(network: Network | None, keep: list[str], least: float | None = No
             n = batch.num_rows
             best, score = np.full(n, len(langs) - 1), np.zeros(n)
             if network:
-                lettered = np.asarray(batch.column("__letter").to_numpy(zero_copy_only=False), bool)
+                lettered = np.asarray(batch.column("__lk_letter").to_numpy(zero_copy_only=False), bool)
                 for row, end, buffer, offsets in X.slices(*X.text_bytes(batch.column("text"))):
                     windows, rows, filled = windows_of(buffer, offsets)
                     if not len(rows):
@@ -212,7 +211,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
 
 
 def _given(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter")
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lk_letter")
     kinds = dict(docs.dtypes)
     return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], letter), ", ".join(f"`{c}` {kinds[c]}" for c in keep)
 
@@ -221,7 +220,8 @@ def identify(docs: DataFrame, network: Network | None, keep: list[str]) -> DataF
     """The kept columns plus lang_pred string and score double (0 to 1) of each text, a row for each row.
 
     Texts that are null or have no letter are `und` with score 0, and so are all texts where there is no network. Repeated
-    rows are predicted each. Columns named lang_pred or score are replaced.
+    rows are predicted each; of equal scores the language that is first by name counts. Long texts are read whole. No rows in, no rows out. Columns
+    named lang_pred or score are replaced; names that begin with __lk_ are reserved.
     """
     keep = [c for c in keep if c.lower() not in {"lang_pred", "score"}]
     given, schema = _given(docs, keep)
@@ -229,7 +229,10 @@ def identify(docs: DataFrame, network: Network | None, keep: list[str]) -> DataF
 
 
 def accept(docs: DataFrame, network: Network | None, least: float = 0.5) -> DataFrame:
-    """The rows of docs, unchanged, that have a language with at least that score."""
+    """The rows of docs, unchanged, that have a language with at least that score: none whose text is null, empty or has no letter.
+
+    Repeated rows stay or go together; other columns, whatever their names, are passed on. No rows in, no rows out.
+    """
     given, schema = _given(docs, docs.columns)
     return given.mapInArrow(predictor(network, docs.columns, least), schema)
 

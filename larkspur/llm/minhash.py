@@ -29,6 +29,8 @@ SHINGLE = 5
 COORDINATES = 128
 #: Pairs of one centre that one group of a task handles.
 PAIRS_A_GROUP = 256
+#: Centres with more pairs (16 bytes each) are broadcast up to so many, so that a frequent centre's pairs are dealt without meeting first.
+BROADCAST_HOT = 500_000
 #: Nodes of a bucket whose pairs may be rows; nodes and shingles of a block, about; columns of a matrix product.
 FEW = 16
 BLOCK_NODES = 1024
@@ -189,8 +191,9 @@ def verifier(percent: int):
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those pairs (u, v) whose full sets reach the threshold. A centre with many partners is spread over several groups."""
-    many = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_GROUP).alias("salts"))
-    salted = pairs.join(many, "u").select("u", F.pmod(F.xxhash64("v"), F.col("salts")).alias("salt"), "v")
+    hot = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_GROUP).alias("salts")).where("salts > 1").withColumnRenamed("u", "hot")
+    few = hot.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT
+    salted = pairs.join(F.broadcast(hot) if few else hot, F.col("u") == F.col("hot"), "left").select("u", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).alias("salt"), "v")
     wanted = salted.select("u", "salt", F.lit(1).alias("kind"), F.col("v").alias("node")).unionByName(salted.select("u", "salt").distinct().select("u", "salt", F.lit(0).alias("kind"), F.col("u").alias("node")))
     rows = wanted.join(texts, F.col("node") == F.col("doc_id")).select("u", "salt", "kind", "node", "text")
     return rows.repartition("u", "salt").sortWithinPartitions("u", "salt", "kind").mapInArrow(verifier(percent), "u long, v long")
@@ -206,7 +209,7 @@ def link(docs: DataFrame, tables: Tables, percent: int = 80) -> DataFrame:
     Documents are linked if 100 * intersection >= percent * union of their sets of SHINGLE-word shingles (A-Z lowered; a text
     of fewer words is one shingle; null, empty and blank texts have none and are linked with nothing). component_id is
     the smallest doc_id reachable, kept says that it is the row's own. Rows whose doc_id is null have a null component and are kept.
-    Rows that repeat a doc_id are one document. No rows in, no rows out. Other columns are not read.
+    Rows that repeat a doc_id are one document, ties go to the smaller doc_id, and long texts are read whole. No rows in, no rows out. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
     rows = band_rows(percent)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, partitions
+from .common import Tables, columns, partitions
 
 #: Counts beyond STEPS have a probability under 1e-15 up to a rate of 40; rates over WHOLE are drawn as sums.
 STEPS = 130
@@ -55,27 +55,28 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, rows:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, rows: float | None = None, seed: str = "mix", key: str = "doc_id", shuffle: bool = True) -> DataFrame:
-    """docs, each row as often as drawn, plus replica long (from 0) and shuffle_key long, in the order of shuffle_key.
+    """docs, each row as often as drawn, plus replica long (from 0) and shuffle_key long.
 
-    Null sources are a source of their own. A null key is drawn as the text 'null'. Repeated rows draw the same count
-    each. An empty table gives no rows. Columns of docs named replica or shuffle_key are replaced.
+    Rows are dealt to partitions by shuffle_key, and each partition is in the order of shuffle_key. Null sources are a source of their own. A null key is
+    drawn as the text 'null'. Null, empty and long texts are rows as any other. Repeated rows draw the same count each, and rows that tie in shuffle_key stand in any
+    order. An empty table gives no rows. Columns of docs named replica or shuffle_key are replaced; names that begin with __lk_ are reserved.
     A table of rates beyond BROADCAST_ROWS sources is joined by shuffle, where adaptive execution splits a hot source.
     """
-    kept = [c for c in docs.columns if c.lower() not in {"replica", "shuffle_key"}]
-    table = rates(docs, weights, alpha, rows).select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
+    kept = columns(docs, {"replica", "shuffle_key"})
+    table = rates(docs, weights, alpha, rows).select(F.col("source").alias("__lk_source"), F.col("draws").alias("__lk_draws"), F.col("cdf").alias("__lk_cdf"))
     few = docs.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    below = lambda u: F.size(F.filter("__cdf", lambda c: c <= u)).cast("long")
-    more = F.sequence(F.lit(1).cast("long"), F.col("__draws") - 1)
-    further = F.aggregate(more, F.lit(0).cast("long"), lambda n, k: n + below(uniform(seed, F.concat(F.lit("#"), k.cast("string"), F.lit("#"), F.col("__name")))))
+    below = lambda u: F.size(F.filter("__lk_cdf", lambda c: c <= u)).cast("long")
+    more = F.sequence(F.lit(1).cast("long"), F.col("__lk_draws") - 1)
+    further = F.aggregate(more, F.lit(0).cast("long"), lambda n, k: n + below(uniform(seed, F.concat(F.lit("#"), k.cast("string"), F.lit("#"), F.col("__lk_name")))))
     drawn = (
-        docs.select(*[F.col(f"`{c}`") for c in kept], name.alias("__name"))
-        .join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("__u", uniform(seed, F.col("__name")))
-        .withColumn("__count", below(F.col("__u")) + F.when(F.col("__draws") > 1, further).otherwise(F.lit(0).cast("long")))
-        .where(F.col("__count") > 0)
+        docs.select(*[F.col(f"`{c}`") for c in kept], name.alias("__lk_name"))
+        .join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("__lk_source")))
+        .withColumn("__lk_u", uniform(seed, F.col("__lk_name")))
+        .withColumn("__lk_count", below(F.col("__lk_u")) + F.when(F.col("__lk_draws") > 1, further).otherwise(F.lit(0).cast("long")))
+        .where(F.col("__lk_count") > 0)
     )
-    copies = drawn.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(0).cast("long"), F.col("__count") - 1)).alias("replica"))
+    copies = drawn.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(0).cast("long"), F.col("__lk_count") - 1)).alias("replica"))
     place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), name, F.lit("/"), F.col("replica").cast("string"))), 1, 15), 16, 10).cast("long")
     copies = copies.withColumn("shuffle_key", place)
     if not shuffle:
@@ -92,12 +93,14 @@ def query(spark, docs: DataFrame) -> DataFrame:
 ORACLE = f"""
 WITH counts AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS share FROM documents GROUP BY source),
 means AS (SELECT source, (SELECT CAST(sum(n) AS DOUBLE) FROM counts) * share / (SELECT sum(share) FROM counts) / n AS mean FROM counts),
-parts AS (SELECT source, mean, CASE WHEN mean > {WHOLE} THEN CAST(floor(mean) AS BIGINT) - {WHOLE} ELSE 0 END AS whole FROM means),
-terms AS (SELECT source, whole, k, exp(-(mean - whole) + k * ln(mean - whole) - lgamma(k + 1)) AS p
+parts AS (SELECT source, greatest(CAST(ceil(mean / {WHOLE}) AS BIGINT), 1) AS draws, mean / greatest(ceil(mean / {WHOLE}), 1) AS part FROM means),
+terms AS (SELECT source, draws, k, exp(-part + k * ln(part) - lgamma(k + 1)) AS p
     FROM parts, (SELECT unnest(range(0, {STEPS + 1})) AS k)),
-cdf AS (SELECT source, whole, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-tables AS (SELECT source, any_value(whole) AS whole, list(c) AS cs FROM cdf GROUP BY source),
-drawn AS (SELECT doc_id, d.source, whole + len(list_filter(cs, lambda c: c <= CAST(CAST(('0x' || substr(md5('mix' || CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) AS DOUBLE) / 4503599627370496.0)) AS n
-    FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
-copies AS (SELECT doc_id, source, unnest(range(0, CAST(n AS BIGINT))) AS replica FROM drawn)
+cdf AS (SELECT source, draws, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+tables AS (SELECT source, any_value(draws) AS draws, list(c) AS cs FROM cdf GROUP BY source),
+asked AS (SELECT r, doc_id, d.source, cs, unnest(range(0, draws)) AS draw
+    FROM (SELECT doc_id, source, row_number() OVER () AS r FROM documents) d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+drawn AS (SELECT r, doc_id, source, len(list_filter(cs, lambda c: c <= CAST(CAST(('0x' || substr(md5('mix' || CASE draw WHEN 0 THEN '' ELSE '#' || draw || '#' END || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))
+    AS BIGINT) AS DOUBLE) / 4503599627370496.0)) AS n FROM asked),
+copies AS (SELECT doc_id, source, unnest(range(0, CAST(sum(n) AS BIGINT))) AS replica FROM drawn GROUP BY r, doc_id, source)
 SELECT doc_id, source, replica, CAST(('0x' || substr(md5('mix/' || CAST(doc_id AS VARCHAR) || '/' || CAST(replica AS VARCHAR)), 1, 15)) AS BIGINT) AS shuffle_key FROM copies"""

@@ -23,8 +23,8 @@ SMOOTH = 1.0
 TAIL = 0.005
 #: Scores are compared in steps of this, so that the histogram has a bounded number of rows.
 STEP = 1 / 1024
-#: Labels of at most so many documents (16 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_LABELS = 2_000_000
+#: Ids of at most so many trusted documents (under 100 MB as a hash table) are broadcast; more are joined by shuffle, with ids and scores only but for the trusted texts.
+BROADCAST_LABELS = 500_000
 WINDOW = 8
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _LEAD_IN_WORD = X.IS_LEAD & X.IS_WORD
@@ -141,25 +141,41 @@ def _score(weights: np.ndarray):
                 got["n_repeat_words"].append(repeated_words(hashes, first, buffer, starts, ends))
                 got["score"].append(np.round(total / np.maximum(grams, 1) / STEP) * STEP)
             columns = [pa.array(np.concatenate(v).astype(np.float64 if k == "score" else np.int64)) if v else pa.array([], pa.float64() if k == "score" else pa.int64()) for k, v in got.items()]
-            kept = [c for c in batch.schema.names if c not in {"text", "trusted"}]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [batch.column("trusted")] + columns, kept + ["trusted", *got])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *got])
 
     return run
 
 
-def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs plus trusted boolean: some label says quality 1."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("__good")).distinct()
+def trusted_ids(labels: DataFrame) -> tuple[DataFrame, bool]:
+    """(good) the ids of documents that some label gives quality 1, without null ids, and whether they are few enough to be broadcast."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__lk_good")).distinct()
     few = good.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    return docs.join(F.broadcast(good) if few else good, docs["doc_id"] == good["__good"], "left").withColumn("trusted", F.col("__good").isNotNull()).drop("__good")
+    return (F.broadcast(good) if few else good), few
+
+
+def with_trust(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """docs plus trusted boolean (false for a null id), a row for each row; repeated rows are trusted each. Columns named trusted are replaced."""
+    return docs.drop("trusted").join(good, docs["doc_id"] == good["__lk_good"], "left").withColumn("trusted", F.col("__lk_good").isNotNull()).drop("__lk_good")
 
 
 def fit(trusted: DataFrame) -> np.ndarray:
-    """The log ratio of each bucket, from counts over all rows of (text, trusted). What reaches the driver is BUCKETS rows."""
+    """The log ratio of each bucket, from counts over all rows of (text, trusted). What reaches the driver is BUCKETS rows.
+
+    Null and empty texts count nothing, repeated rows count each; without rows, or without trusted ones, all ratios are 0.
+    """
+    return ratios(_counts(trusted))
+
+
+def _counts(trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts = trusted.select("text", "trusted").mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+    return raw, target
+
+
+def ratios(counts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    raw, target = counts
     if not target.sum():
         return np.zeros(BUCKETS)
     log = lambda n: np.log((n + SMOOTH) / (n.sum() + SMOOTH * BUCKETS))
@@ -169,22 +185,30 @@ def fit(trusted: DataFrame) -> np.ndarray:
 def rate(docs: DataFrame, labels: DataFrame, tables: Tables, tail: float = TAIL) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, threshold).
 
-    Null and empty texts have no words, so they fail the base rules. Repeated rows are rated each. Without trusted
+    Null and empty texts have no words, so they fail the base rules; long texts are read whole. Repeated rows are rated each, and equal texts alike.
+    A score equal to the threshold is kept. Rows with a null doc_id are never trusted. Without trusted
     documents all scores are 0 and the base rules alone decide. No rows in, no rows out. Other columns of docs
     are not read.
     """
-    trusted = with_trust(docs.select("doc_id", "text"), labels)
-    weights = fit(trusted)
-    scored = tables.cut(trusted.mapInArrow(_score(weights), "doc_id long, trusted boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"))
+    docs = docs.select("doc_id", "text")
+    good, few = trusted_ids(labels)
+    if few:
+        weights = fit(with_trust(docs, good))
+    else:
+        raw, _ = _counts(docs.withColumn("trusted", F.lit(False)))
+        _, target = _counts(docs.join(good, docs["doc_id"] == good["__lk_good"], "left_semi").withColumn("trusted", F.lit(True)))
+        weights = ratios((raw, target))
+    scored = tables.cut(docs.mapInArrow(_score(weights), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    histogram = sorted(scored.where(F.col("trusted") & ~failed).groupBy("score").count().collect())
+    passed = scored.where(~failed).select("doc_id", "score")
+    histogram = sorted(passed.join(good, passed["doc_id"] == good["__lk_good"], "left_semi").groupBy("score").count().collect())
     allowed, threshold = tail * sum(r["count"] for r in histogram), float("-inf")
     for r in histogram:
         allowed -= r["count"]
         if allowed < 0:
             threshold = r["score"]
             break
-    return scored.drop("trusted").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(threshold))).withColumn("threshold", F.lit(threshold))
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(threshold))).withColumn("threshold", F.lit(threshold))
 
 
 def query(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:

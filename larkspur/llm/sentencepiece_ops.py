@@ -292,7 +292,11 @@ def decoder(model: str, keep: list[str]):
 
 
 def encode(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
-    """The kept columns plus ids array<int>, a row for each row. A null text has null ids, an empty one none. Columns named ids are replaced."""
+    """The kept columns plus ids array<int>, a row for each row.
+
+    A null text has null ids, an empty one none; long texts are encoded whole. Equal texts, as in repeated rows, have equal ids, and ties between segmentations are
+    broken as said above. No rows in, no rows out. Columns named ids are replaced, all others keep their values.
+    """
     keep = [c for c in keep if c.lower() != "ids"]
     kinds = dict(docs.dtypes)
     given = docs.select(*dict.fromkeys([*keep, "text"]))
@@ -300,7 +304,11 @@ def encode(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
 
 
 def decode(coded: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
-    """The kept columns plus decoded string: the text that the ids spell (null for null ids)."""
+    """The kept columns plus decoded string: the text that the ids spell, a row for each row.
+
+    Null ids give null, no ids an empty text; null elements and ids that spell nothing are skipped. Equal ids, as in repeated rows, give equal texts. No rows in, no
+    rows out. Columns named decoded are replaced, all others keep their values.
+    """
     keep = [c for c in keep if c.lower() != "decoded"]
     kinds = dict(coded.dtypes)
     return coded.mapInArrow(decoder(model, keep), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "decoded string"]))

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, partitions
+from .common import Tables, columns, partitions
 
 BITS = 60
 #: Bits summed at once beyond the depth that even hashing needs.
@@ -70,9 +70,9 @@ def shard(docs: DataFrame, limit: int, tables: Tables, key: str = "doc_id", text
 
     The hash is of the key, or of the text where the key is null. n_bytes is the UTF-8 length of the text (null: 0).
     Three columns name a shard. shard_page is 0 but for rows that no bit can part: a row longer than the limit has a shard
-    of its own (depth -1, page a number of the row), and rows of equal hash fill overflow pages, each within the limit.
-    Repeated rows are kept, each in the shard of its hash. An empty table gives an empty result. Columns of docs named like an added
-    one are replaced.
+    of its own (depth -1, page a number of the row), and rows of equal hash fill overflow pages, each within the limit; these numbers
+    follow the partitioning of docs, since a stable count would need a group in one task. Repeated rows are kept, each in the shard of its hash, and ties stand in any order. Null and empty texts have no bytes.
+    An empty table gives an empty result. Columns of docs named like an added one are replaced; names that begin with __lk_ are reserved.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     plain = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("t"), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))))
@@ -80,30 +80,28 @@ def shard(docs: DataFrame, limit: int, tables: Tables, key: str = "doc_id", text
     dirs = directory(sized, limit, tables)
     depths = [r[0] for r in dirs.select("fine_depth").distinct().collect()]  # one row for each round
     n = dirs.count()
-    kept = [c for c in docs.columns if c.lower() not in {"shard_depth", "shard_prefix", "shard_page", "n_bytes"}]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], size.alias("n_bytes"), row_hash(plain).alias("__hash"))
-    fits = rows.where(F.col("n_bytes") <= limit)
-    side = dirs.select("fine_depth", "fine_prefix", F.col("depth").alias("shard_depth"), "shard_prefix", "overflow")
+    kept = columns(docs, {"shard_depth", "shard_prefix", "shard_page", "n_bytes"})
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], size.alias("__lk_bytes"), row_hash(plain).alias("__lk_hash"))
+    fits = rows.where(F.col("__lk_bytes") <= limit)
+    side = dirs.select("fine_depth", *(F.col(c).alias(f"__lk_{c}") for c in ("fine_prefix", "depth", "shard_prefix", "overflow")))
     parts = []
     for depth in depths:
         here = side.where(F.col("fine_depth") == depth).drop("fine_depth")
-        joined = fits.join(F.broadcast(here) if n <= BROADCAST_ROWS else here, prefix(F.col("__hash"), depth) == F.col("fine_prefix")).drop("fine_prefix")
-        if depth < BITS:
-            parts.append(joined.where("not overflow").withColumn("shard_page", F.lit(0).cast("long")))
-            continue
-        parts.append(joined.where("not overflow").withColumn("shard_page", F.lit(0).cast("long")))
-        salted = joined.where("overflow").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-        place = Window.partitionBy("__hash", "__salt").orderBy("n_bytes")
-        # Pages hold as many rows of the largest size of their salt as fit, so a running count is enough.
-        per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.max("n_bytes").over(Window.partitionBy("__hash", "__salt")))))
-        parts.append(salted.withColumn("shard_page", (F.floor((F.row_number().over(place) - 1) / per) * SALTS + F.col("__salt")).cast("long")).drop("__salt"))
-    giants = rows.where(F.col("n_bytes") > limit).withColumns(
-        {"shard_depth": F.lit(-1), "shard_prefix": F.col("__hash"), "overflow": F.lit(True), "shard_page": F.monotonically_increasing_id()}
-    )
+        joined = fits.join(F.broadcast(here) if n <= BROADCAST_ROWS else here, prefix(F.col("__lk_hash"), depth) == F.col("__lk_fine_prefix")).drop("__lk_fine_prefix")
+        parts.append(joined.where("not __lk_overflow").withColumn("__lk_page", F.lit(0).cast("long")))
+        if depth == BITS:
+            # Rows of one hash are dealt by text and turn, so that no task has all of them.
+            salted = joined.where("__lk_overflow").withColumn("__lk_salt", F.pmod(F.xxhash64(F.col(f"`{text}`")) + F.monotonically_increasing_id(), F.lit(SALTS)))
+            place = Window.partitionBy("__lk_hash", "__lk_salt").orderBy("__lk_bytes")
+            # Pages hold as many rows of the largest size of their salt as fit, so a running count is enough.
+            per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.max("__lk_bytes").over(Window.partitionBy("__lk_hash", "__lk_salt")))))
+            parts.append(salted.withColumn("__lk_page", (F.floor((F.row_number().over(place) - 1) / per) * SALTS + F.col("__lk_salt")).cast("long")).drop("__lk_salt"))
+    giants = rows.where(F.col("__lk_bytes") > limit).withColumns({"__lk_depth": F.lit(-1), "__lk_shard_prefix": F.col("__lk_hash"), "__lk_overflow": F.lit(True), "__lk_page": F.monotonically_increasing_id()})
     out = giants
     for p in parts:
         out = out.unionByName(p)
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("shard_depth").cast("int").alias("shard_depth"), "shard_prefix", "shard_page", "n_bytes")
+    made = {"shard_depth": F.col("__lk_depth").cast("int"), "shard_prefix": F.col("__lk_shard_prefix"), "shard_page": F.col("__lk_page").cast("long"), "n_bytes": F.col("__lk_bytes")}
+    return out.select(*[F.col(f"`{c}`") for c in kept], *(v.alias(c) for c, v in made.items()))
 
 
 SHARD = ("shard_depth", "shard_prefix", "shard_page")

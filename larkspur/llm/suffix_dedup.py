@@ -387,26 +387,28 @@ def dedup(docs: DataFrame, tables: Tables, keep: list[str] | None = None, output
 
     A null text is empty. Texts under LENGTH bytes lose nothing. Rows that repeat a doc_id and its text are one document: starts at the same
     byte of it are not earlier than each other. Rows of one doc_id with different texts are documents in the order of the texts' hashes;
-    those without a doc_id come before all others. No rows in, no rows out. Columns named
-    like an added one are replaced.
+    those without a doc_id come before all others. Long texts are read whole. No rows in, no rows out. Columns named
+    like an added one are replaced; names that begin with __lk_ are reserved, and all other columns keep their values.
     """
-    made = {"n_bytes", "n_removed", "n_spans", output, "runs", "wanted", "doc", "tie", "text"}
-    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in made]
-    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "doc_id", "text"])])
-    named = rows.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "tie": F.xxhash64("text")})
+    made = {"n_bytes", "n_removed", "n_spans", output, "text"}
+    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in made and not c.startswith("__lk_")]
+    kinds = dict(docs.dtypes)
+    inner = {c: f"__lk_keep{k}" for k, c in enumerate(keep)}
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("tie"), "text")
     found = named.select("doc", "tie", "text").mapInArrow(scan, "anchor long, whole long, doc long, tie long, start int, count smallint, open boolean")
     met = found.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc", "tie", "start")
     met = tables.cut(met.mapInArrow(meet, "anchor long, doc long, tie long, start int, count smallint, classes long"))
+    # A document has fewer snippets and runs than bytes.
     wanted = met.where("classes > 0").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "start", "count", "classes")).alias("wanted"))
-    cut = named.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(cutter(), "kind byte, shard long, doc long, tie long, start int, count int, bytes binary")
+    cut = named.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(cutter(), "kind byte, shard long, doc long, tie long, start int, count int, bytes binary")
     compared = cut.repartition("shard").sortWithinPartitions("kind", "shard", "doc", "tie", "start").mapInArrow(compare, "doc long, tie long, start int, count int")
     runs = met.where("classes = 0").select("doc", "tie", "start", F.col("count").cast("int").alias("count")).unionByName(compared)
     runs = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    kinds = dict(docs.dtypes)
     last = f"{output} {'binary' if output == 'kept_bytes' else 'string'}"
-    return named.join(runs, ["doc", "tie"], "left").select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], "runs").mapInArrow(
-        remover(keep, output), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long", last])
+    out = named.join(runs, ["doc", "tie"], "left").select(*inner.values(), "text", "runs").mapInArrow(
+        remover(list(inner.values()), output), ", ".join([*(f"{n} {kinds[c]}" for c, n in inner.items()), "n_bytes long, n_removed long, n_spans long", last])
     )
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items()], "n_bytes", "n_removed", "n_spans", output)
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
