@@ -90,6 +90,36 @@ def test_neighbours_of_repeated_rows(spark):
     assert got[0] == 7 and len(got) == 10 and got[1:] == [k for k in np.argsort(far) if k not in (0, 7)][:9]
 
 
+@pytest.mark.parametrize("kind,most", [("even", 0.3), ("clusters", 0.05)])
+def test_neighbours_verify_few(kind, most):
+    """Recall against brute force in one block, and the share of the block that is verified."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    x = rng.normal(size=(6_000, 64))
+    if kind == "clusters":
+        x = rng.normal(size=(100, 64))[rng.integers(0, 100, 6_000)] + 0.3 * x
+    block = ann.Block(x, np.arange(len(x)))
+    hit = 0
+    for q in range(40):
+        at, far = block.search(x[q], q, 10)
+        exact = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert np.allclose(far, exact[at], atol=1e-12)
+        exact[q] = np.inf
+        hit += len(set(at.tolist()) & set(np.argsort(exact)[:10].tolist()))
+    assert hit >= 0.93 * 400 and block.verified < most * 40 * len(x)
+
+
+def test_neighbours_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 100)
+    monkeypatch.setattr(ann, "BLOCK_GROWTH", 1)
+    rng = np.random.Generator(np.random.PCG64(9))
+    x = rng.normal(size=(1_500, 8))
+    got = {}
+    for r in ann.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    exact = lambda q: set([k for k in np.argsort(((x - x[q]) ** 2).sum(1)) if k != q][:10])
+    assert len(got) == 15 and sum(len(got[q] & exact(q)) for q in got) >= 0.95 * 150
+
+
 def test_pipeline_stages(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
