@@ -213,3 +213,21 @@ def rate(docs: DataFrame, labels: DataFrame, tables: Tables, tail: float = TAIL)
 
 def query(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rate(docs, labels, Tables(spark, "quality")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
+
+
+def base_counts(docs: DataFrame, tables: Tables) -> DataFrame:
+    """The columns of `rate` that depend on the text alone: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    none = docs.sparkSession.createDataFrame([], "doc_id long, quality int")
+    return rate(docs, none, tables).drop("kept", "score", "threshold")
+
+
+BASE_ORACLE = r"""
+WITH given AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM given),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM given) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+windows AS (SELECT doc_id, k, array_to_string(w[k : k + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS k FROM words)),
+twice AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, sum(least(8, coalesce(next - k, 8))) AS n FROM (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM twice) GROUP BY doc_id),
+counted AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM words w LEFT JOIN lines l USING (doc_id) LEFT JOIN covered c USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted"""

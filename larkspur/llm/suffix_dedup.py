@@ -413,3 +413,19 @@ def dedup(docs: DataFrame, tables: Tables, keep: list[str] | None = None, output
 
 def query(spark, docs: DataFrame) -> DataFrame:
     return dedup(docs, Tables(spark, "suffix"), ["doc_id"], "kept_sha256")
+
+
+ORACLE = r"""
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+chunks AS (SELECT doc_id, low, substr(h, 2 * low + 1, 2198) AS p FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 1000)) AS low FROM raw)),
+starts AS (SELECT doc_id, low, p, unnest(range(0, least(length(p) // 2 - 99, 1000))) AS k FROM chunks),
+named AS (SELECT doc_id, low + k AS s, md5_number(substr(p, 2 * k + 1, 200)) AS g FROM starts),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS place FROM named) WHERE place > 1),
+marked AS (SELECT doc_id, s, coalesce(s - lag(s) OVER w > 100, true) AS opens FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+numbered AS (SELECT doc_id, s, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(s) AS a, max(s) + 100 AS b FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, span, coalesce(lag(b) OVER w, 0) AS a, a AS b, lead(b) OVER w IS NULL AS last, b AS tail FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY span)),
+pieces AS (SELECT r.doc_id, g.span, substr(h, 2 * g.a + 1, 2 * (g.b - g.a)) || CASE WHEN last THEN substr(h, 2 * tail + 1) ELSE '' END AS p FROM gaps g JOIN raw r USING (doc_id)),
+left_ AS (SELECT doc_id, string_agg(p, '' ORDER BY span) AS k, count(*) AS n FROM pieces GROUP BY doc_id)
+SELECT r.doc_id, length(h) // 2 AS n_bytes, (length(h) - length(coalesce(k, h))) // 2 AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM raw r LEFT JOIN left_ USING (doc_id)"""
