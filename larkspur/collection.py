@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .operators.lifecycle import RESERVED_FIELD
 from .plans.ast import REFERENCE, And, Fields, Limits, Or, Order, Query, QueryError
 from .plans.compile import Typed, Variants
 from .plans.planner import Index, Result, check_indexes, execute, explain
 
 COLLECTION_NAME = re.compile(r"[A-Za-z0-9._-]{1,128}\Z")
-#: Marks a stored deletion; documents can't have a field of that name.
-RESERVED_FIELD = "__larkspur_deleted"
 
 
 def check_name(name: str) -> str:
@@ -59,7 +58,7 @@ class Collection:
         return found[0] if found else None
 
     def scan(self) -> DataFrame:
-        """All documents in the order of their ids."""
+        """All documents; in the order of their ids where the limits bound a scan."""
         return self.run(Query()).df if self.limits.limit_default is None else replace(self, limits=replace(self.limits, limit_default=None)).run(Query()).df
 
     def filter(self, test: Callable[..., bool] | Column, max_scan: int | None = None) -> DataFrame:
@@ -159,3 +158,6 @@ def validated(df: DataFrame, schema: T.StructType, id_column: str = "id", requir
             reason = F.coalesce(reason, F.when(value.isNull(), F.lit(f"{f.name}: missing")))
     judged = df.withColumn("__reason", reason)
     return judged.where(F.col("__reason").isNull()).select(*columns), judged.where(F.col("__reason").isNotNull()).select(F.col(f"`{id_column}`").cast("string").alias("id"), F.col("__reason").alias("reason"))
+
+
+__all__ = ["RESERVED_FIELD", "Builder", "Collection", "check_name", "validated"]

@@ -41,6 +41,18 @@ def catalog_page(names: DataFrame, offset: int = 0, size: int = 20) -> DataFrame
     return distinct.orderBy("name").offset(offset).limit(size).select("name", F.lit(offset + size if more else None).cast("int").alias("next_offset"))
 
 
+def numbered(rows: DataFrame, order: list, folder: str, name: str = "place") -> DataFrame:
+    """rows with their place (from 1) in a total order: ranges of the order are sorted apart and written, and each range adds the rows of those before it."""
+    spark = rows.sparkSession
+    number = F.monotonically_increasing_id()  # range in the upper bits, place in the range in the lower 33
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__number", number)
+    ordered.write.parquet(folder)
+    ordered = spark.read.parquet(folder).withColumns({"__range": F.shiftright("__number", 33), "__within": F.col("__number").bitwiseAND((1 << 33) - 1)})
+    sizes = ordered.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__range") < F.col("a.__range"), "left").groupBy(F.col("a.__range").alias("__of")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("__before"))
+    return ordered.join(F.broadcast(before), F.col("__range") == F.col("__of")).select(*rows.columns, (F.col("__before") + F.col("__within") + 1).cast("long").alias(name))
+
+
 def readable(rows: DataFrame, scope: str, grants: DataFrame, right: str = "read") -> DataFrame:
     """rows with their scope granted; grants: scope, right."""
     allowed = grants.where(F.col("right") == right).select(F.col("scope").alias("__scope")).distinct()
@@ -57,3 +69,16 @@ def scopes_of(user: str, tenant: str | None = None, roles: tuple[str, ...] = ())
         if "admin" in roles:
             out.append((f"tenant:{tenant}", "admin"))
     return out + [(f"role:{r}", "read") for r in roles]
+
+
+def grants_of(users: DataFrame) -> DataFrame:
+    """(scope, right) of all users (user, tenant, roles array) by the same rule."""
+    pair = lambda scope, right: F.struct(scope.alias("scope"), F.lit(right).alias("right"))
+    tenant = F.concat(F.lit("tenant:"), "tenant")
+    has = lambda *roles: F.col("tenant").isNotNull() & F.arrays_overlap("roles", F.array(*[F.lit(r) for r in roles]))
+    own = F.array(
+        pair(F.lit("public"), "read"), pair(F.concat(F.lit("user:"), "user"), "read"), pair(F.concat(F.lit("user:"), "user"), "write"), F.when(F.col("tenant").isNotNull(), pair(tenant, "read")),
+        F.when(has("writer", "admin"), pair(tenant, "write")), F.when(has("admin"), pair(tenant, "admin")),
+    )
+    given = F.concat(own, F.transform("roles", lambda r: pair(F.concat(F.lit("role:"), r), "read")))
+    return users.select(F.explode(F.filter(given, lambda g: g.isNotNull())).alias("g")).select("g.*").distinct()

@@ -38,6 +38,22 @@ def stats(postings: DataFrame, index: Index) -> DataFrame:
     return entries(postings, index).agg(F.lit(index.name).alias("index_name"), F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids")).select("index_name", "entries", "ids")
 
 
+def integrity(postings: DataFrame, docs: DataFrame, index: Index, form: Typed) -> DataFrame:
+    """(index_name, postings, missing, stale, twice) as one row: postings that the documents have and the index lacks, those that it has and they lack, and ids in two postings."""
+    want = build(docs, index, form).groupBy("id", *index.keys).agg(F.lit(0).alias("have"), F.count(F.lit(1)).alias("want"))
+    have = postings.groupBy("id", *index.keys).agg(F.count(F.lit(1)).alias("have"), F.lit(0).alias("want"))
+    met = have.select("id", *index.keys, F.col("have").cast("long"), F.col("want").cast("long")).unionByName(want.select("id", *index.keys, F.col("have").cast("long"), F.col("want").cast("long")))
+    by_key = met.groupBy("id", *index.keys).agg(F.sum("have").alias("have"), F.sum("want").alias("want"))
+    by_id = by_key.groupBy("id").agg(F.sum("have").alias("have"), F.sum(F.greatest(F.col("want") - F.col("have"), F.lit(0))).alias("missing"), F.sum(F.greatest(F.col("have") - F.col("want"), F.lit(0))).alias("stale"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by_id.agg(F.lit(index.name).alias("index_name"), total("have").alias("postings"), total("missing").alias("missing"), total("stale").alias("stale"), F.count_if(F.col("have") > 1).alias("twice"))
+
+
+def over_bound(postings: DataFrame, index: Index, bound: int) -> DataFrame:
+    """(key fields, ids, refused): whether a lookup of each key gives more candidates than the bound."""
+    return entries(postings, index).withColumn("refused", F.col("ids") > bound)
+
+
 def health(configured: dict[str, tuple[Index, ...]], active: dict[str, dict[str, tuple[Index, int]]]) -> list[dict]:
     """The state of every index by collection: active is what manifests hold, as name to (definition, entries)."""
     out = []

@@ -13,6 +13,8 @@ MARKS = ("deleted_at", "restore_until", "purge_after")
 RESTORE = timedelta(days=30)
 GRACE = timedelta(days=7)
 BATCH_MOST = 20
+#: Marks a stored deletion; documents can't have a field of that name.
+RESERVED_FIELD = "__larkspur_deleted"
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -30,7 +32,8 @@ def latest(changes: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def put_many(rows: DataFrame, changes: DataFrame, key: str, position: str) -> DataFrame:
-    """rows after upserts; of several changes of an id the last position counts, and an upsert revives a deleted id."""
+    """rows after upserts; of several changes of an id the last position counts, and an upsert revives a deleted id. The reserved field is refused."""
+    refuse_reserved(changes)
     new = stored(latest(changes, key, position).drop(position))
     return rows.join(new.select(key), key, "left_anti").unionByName(new.select(*rows.columns))
 
@@ -87,11 +90,41 @@ def replaced_ids(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return rows.join(new.select(key), key, "left_anti").select(key)
 
 
-def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+def replace_all(rows: DataFrame, new: DataFrame, key: str, now, restore: timedelta = RESTORE, grace: timedelta = GRACE) -> DataFrame:
+    """rows after a replacement: `new` is live, live rows of other ids become deletions, and deletions of other ids keep their dates."""
+    refuse_reserved(new)
+    others = rows.join(new.select(key), key, "left_anti").select(*rows.columns)
+    return erase_all(others, now, restore, grace).unionByName(stored(new).select(*rows.columns))
 
 
-def check_batch(documents: list[dict], reserved: str) -> list[dict]:
+def duplicate_ids(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def refuse_reserved(docs: DataFrame) -> None:
+    if RESERVED_FIELD in docs.columns:
+        raise QueryError(f"{RESERVED_FIELD} is reserved")
+
+
+def judge_batches(changes: DataFrame, batch: str, key: str) -> DataFrame:
+    """(batch, documents, refused): why a batch of changes isn't applied (too many, without id, one id twice), NULL if it is.
+
+    A batch holds 1 to BATCH_MOST documents with different non-empty ids. Counted by batch and id first, so that a huge batch is no large group.
+    """
+    id_ = F.col(key).cast("string")
+    by_id = changes.groupBy(F.col(batch).alias("batch"), F.when(id_ != "", id_).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    counted = by_id.groupBy("batch").agg(F.sum("n").alias("documents"), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("bare"), F.max(F.when(F.col("id").isNotNull(), F.col("n"))).alias("most"))
+    refused = F.when(F.col("documents") > BATCH_MOST, "too many").when(F.col("bare") > 0, "without id").when(F.col("most") > 1, "one id twice")
+    return counted.select("batch", "documents", refused.alias("refused"))
+
+
+def apply_batches(rows: DataFrame, changes: DataFrame, batch: str, key: str, position: str) -> DataFrame:
+    """rows after all batches that are not refused, in the order of position; a refused batch changes nothing."""
+    accepted = judge_batches(changes, batch, key).where("refused IS NULL").select(F.col("batch").alias(batch))
+    return put_many(rows, changes.join(accepted, batch, "left_semi").select(*[c for c in changes.columns if c != batch]), key, position)
+
+
+def check_batch(documents: list[dict], reserved: str = RESERVED_FIELD) -> list[dict]:
     """The batch itself, or an error: 1 to BATCH_MOST documents with different non-empty ids and without the reserved field."""
     if not 1 <= len(documents) <= BATCH_MOST:
         raise QueryError(f"A batch holds 1 to {BATCH_MOST} documents")

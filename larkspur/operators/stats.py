@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.values import id_bucket, percent_change
 
 CELLS = 4096
+#: Values of a cell that are not cut again, and cuts at most (each divides the range by CELLS, and a double has 64 bits).
+FEW = 100_000
+ROUNDS = 8
 
 
 def bucket_stats(rows: DataFrame, id_: Column, size: Column, is_deleted: Column | None = None) -> DataFrame:
@@ -24,23 +27,31 @@ def collection_stats(rows: DataFrame, size: Column, is_deleted: Column | None =
 def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """(group, one column for each share): the smallest value that at least that share of the group's values don't exceed. Exact.
 
-    A group's range is cut into CELLS cells and only counted; then the values of the cells that hold a wanted rank are counted by value. No
-    group is gathered or sorted in one task, whatever its size.
+    A group's range is cut into CELLS cells and only counted. The cell that holds a wanted rank is cut again as long as it has more than FEW
+    values and they differ, so that values far from all others don't matter; then its values are counted by value. No group is gathered
+    or sorted in one task, whatever its size.
     """
     given = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-    span = given.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high")).withColumnRenamed("g", "sg")
-    cell = F.least(F.lit(CELLS - 1), F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * CELLS)).cast("int")
-    celled = given.join(span, F.col("g").eqNullSafe(F.col("sg"))).select("g", "v", cell.alias("cell"))
-    counts = celled.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy("g").orderBy("cell")
-    running = counts.withColumns({"to": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("g"))})
-    wanted = running.withColumn("share", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in shares.items()])))
-    wanted = wanted.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("share.p") * F.col("all")))).where((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("n")))
-    wanted = wanted.select(F.col("g").alias("wg"), F.col("cell").alias("wc"), F.col("share.k").alias("k"), (F.col("rank") - (F.col("to") - F.col("n"))).alias("left"))
-    few = celled.join(wanted.select("wg", "wc").distinct(), F.col("g").eqNullSafe(F.col("wg")) & (F.col("cell") == F.col("wc")), "left_semi").groupBy("g", "cell", "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = few.withColumn("to", F.sum("n").over(Window.partitionBy("g", "cell").orderBy("v")))
-    hit = placed.join(wanted, F.col("g").eqNullSafe(F.col("wg")) & (F.col("cell") == F.col("wc"))).where((F.col("left") <= F.col("to")) & (F.col("left") > F.col("to") - F.col("n")))
-    return hit.groupBy(F.col("g").alias(group)).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in shares])
+    span = given.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in shares.items()]))
+    wanted = span.withColumn("share", asked).select(
+        F.col("g").alias("wg"), F.col("share.k").alias("k"), "low", "high", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("share.p") * F.col("n")).cast("long")).alias("rank")
+    )
+    inside = F.col("g").eqNullSafe(F.col("wg")) & (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
+    for _ in range(ROUNDS):
+        cell = F.least(F.lit(CELLS - 1), F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * CELLS)).cast("int")
+        counts = given.join(wanted, inside).groupBy("wg", "k", "rank", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        running = counts.withColumn("to", F.sum("n").over(Window.partitionBy("wg", "k").orderBy("cell")))
+        hit = running.where((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("n")))
+        wanted = hit.select("wg", "k", "low", "high", (F.col("rank") - F.col("to") + F.col("n")).alias("rank"), "n")
+        if wanted.where((F.col("n") > FEW) & (F.col("low") < F.col("high"))).isEmpty():
+            break
+        wanted = wanted.drop("n")
+    wanted = wanted.drop("n")
+    few = given.join(wanted, inside).groupBy("wg", "k", "rank", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = few.withColumn("to", F.sum("n").over(Window.partitionBy("wg", "k").orderBy("v")))
+    hit = placed.where((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("n")))
+    return hit.groupBy(F.col("wg").alias(group)).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in shares])
 
 
 def latency_summary(samples: DataFrame, case: str, elapsed: str, success: Column) -> DataFrame:
@@ -58,6 +69,11 @@ def baseline_change(now: DataFrame, base: DataFrame, case: str, metrics: tuple[s
     return now.join(renamed, F.col(case) == F.col("__case")).select(case, *[percent_change(F.col(m), F.col(f"__{m}")).alias(f"{m}_change_percent") for m in metrics])
 
 
+def unique_values(rows: DataFrame, field: str) -> DataFrame:
+    """(value): the different values of a field in order, without missing and empty ones."""
+    return rows.where(F.col(field).isNotNull() & (F.col(field) != "")).select(F.col(field).alias("value")).distinct().orderBy("value")
+
+
 def layout_advice(evidence: DataFrame) -> DataFrame:
     """evidence plus layout (snapshot or bucketed), confidence and estimated_bytes: which of two layouts more signals speak for."""
     size = F.col("document_count") * F.col("average_document_bytes")

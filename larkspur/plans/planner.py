@@ -98,32 +98,45 @@ class Result:
 
 
 def execute(source: DataFrame, query: Query, form: Typed | Variants, indexes=(), limits: Limits = REFERENCE, available=None, coverings: dict[str, DataFrame] | None = None) -> Result:
-    """source: live documents. coverings: tables of covering indexes by name, read instead of the source where they serve the query.
+    """source: live documents. coverings: tables of postings by index (id, keys, included fields), sorted by key.
 
+    An index that covers the query is read instead of the source. Of another one the postings in the compared range give the candidate ids, and the source is
+    joined with them. Where no table is given the source is filtered. The predicate is applied to what was found in any case.
     A scan of more documents than maxScanDocuments, and more index candidates than that, are errors and not cut off; the
-    count is one more than the bound at most. Without a bound nothing is counted.
+    count is one more than the bound at most. Without a bound nothing is counted. Rows are put in order if an order or a limit is asked for.
     """
     validate(query, limits)
     plan = choose(query, indexes, available)
     bound = query.max_scan or limits.scan_default
-    base = source
-    if plan.kind == "index" and plan.covering and coverings and plan.index.name in coverings:
-        base = coverings[plan.index.name]
-    looked_at = base
+    postings = (coverings or {}).get(plan.index.name) if plan.kind == "index" else None
+    covering = postings is not None and plan.covering
+    keyed = form if postings is None else Typed(postings.schema, "id", None, form.binary_safe)
+    base, reads = (postings, keyed) if covering else (source, form)
+    looked_at = base if postings is None else postings
     if plan.kind == "index":
         for c in plan.comparisons:
-            looked_at = looked_at.where(predicate(c, form))
+            looked_at = looked_at.where(predicate(c, keyed))
     elif plan.kind == "point":
         looked_at = looked_at.where(predicate(query.where, form))
     if bound is not None and plan.kind != "point" and (n := looked_at.limit(bound + 1).count()) > bound:
         what = "Query scan contains" if plan.kind == "scan" else "Index gives"
         raise QueryError(f"{what} {'more than ' if n > bound else ''}{bound} documents, above the configured maximum of {bound}")
-    out = base if query.where is None else base.where(predicate(query.where, form))
-    out = out.orderBy(*order_columns(query.order_by, form))
+    if postings is not None and not covering:
+        column = form.id_source or form.id_column
+        base = base.join(candidates(looked_at, form), column, "left_semi")
+    out = base if query.where is None else base.where(predicate(query.where, reads))
     most = query.limit or limits.limit_default
+    if query.order_by or most is not None:
+        out = out.orderBy(*order_columns(query.order_by, reads))
     if most is not None:
         out = out.limit(most)
-    return Result(project(out, query, form), plan, looked_at)
+    return Result(project(out, query, reads), plan, looked_at)
+
+
+def candidates(postings: DataFrame, form: Typed) -> DataFrame:
+    """The ids of postings as values of the documents' id column; adaptive execution broadcasts them where they are few."""
+    column = form.id_source or form.id_column
+    return postings.select(F.col("id").cast(form.types[column]).alias(column))
 
 
 def project(df: DataFrame, query: Query, form: Typed | Variants) -> DataFrame:

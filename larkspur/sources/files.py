@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +17,16 @@ def to_documents(rows: DataFrame, id_field: str) -> DataFrame:
     value = F.col(f"`{id_field}`")
     text = value.cast("string")
     if isinstance(rows.schema[id_field].dataType, (T.DoubleType, T.FloatType)):
-        text = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(text)
+        text = F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.raise_error(F.lit(f"{id_field} is not finite"))).when(value == F.floor(value), F.floor(value).cast("string")).otherwise(text)
     checked = F.when(value.isNull() | (text == ""), F.raise_error(F.lit(f"{id_field} is missing"))).otherwise(text)
     if id_field != "id" and "id" in rows.columns:
         checked = F.when(F.col("id").isNotNull() & (F.col("id").cast("string") != text), F.raise_error(F.lit("id conflicts with the id field"))).otherwise(checked)
     return rows.select(checked.alias("id"), *[F.col(f"`{c}`") for c in rows.columns if c not in ("id", id_field)])
 
 
-def read_json(spark: SparkSession, path: str, at: str = "", id_field: str = "id", schema: T.StructType | None = None) -> DataFrame:
-    """Documents of a JSON file: an array, or an array at a dotted path of an object."""
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+def read_json(spark: SparkSession, path: str, at: str = "", id_field: str = "id", schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
+    """Documents of a JSON file: an array, or an array at a dotted path of an object. lines: each line is such a file, so that large ones are split between tasks."""
+    reader = spark.read.option("multiLine", not lines).option("mode", "FAILFAST")
     data = (reader.schema(schema) if schema else reader).json(path)
     if at:
         data = data.select(F.explode(F.col(".".join(f"`{p}`" for p in at.split(".")))).alias("d")).select("d.*")
@@ -34,13 +35,13 @@ def read_json(spark: SparkSession, path: str, at: str = "", id_field: str = "id"
 
 def read_csv(spark: SparkSession, path: str, id_field: str = "id") -> DataFrame:
     """Documents of a CSV file with a header of different, non-empty names. All values are strings; rows that are too short are filled with "", too long ones raise."""
-    header = spark.read.option("multiLine", True).csv(path).limit(1).collect()
+    header = spark.read.option("multiLine", True).option("escape", '"').csv(path).limit(1).collect()
     names = [c for c in header[0]] if header else []
     if not names or any(not n for n in names) or len(set(names)) != len(names):
         raise QueryError("A CSV file needs a header of different, non-empty names")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("__bad", T.StringType())])
-    rows = spark.read.option("header", True).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").schema(schema).csv(path)
-    cells = F.from_csv(F.col("__bad"), ", ".join(f"c{k} STRING" for k in range(len(names) + 1)))
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").schema(schema).csv(path)
+    cells = F.from_csv(F.col("__bad"), ", ".join(f"c{k} STRING" for k in range(len(names) + 1)), {"escape": '"'})
     extra = F.col("__bad").isNotNull() & cells[f"c{len(names)}"].isNotNull()
     first = F.when(extra, F.raise_error(F.lit("A CSV row is longer than the header"))).otherwise(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")))
     filled = rows.select(first.alias(names[0]), *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names[1:]])
@@ -53,9 +54,13 @@ def json_lines(docs: DataFrame, id_column: str = "id") -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), line.alias("line"))
 
 
-def write_json(docs: DataFrame, path: str) -> None:
-    """A folder of JSON lines."""
-    json_lines(docs).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+def write_json(docs: DataFrame, path: str, at: str = "") -> None:
+    """A folder of JSON lines; with a dotted path each line is an object that holds its document in an array at that path, as read_json(lines=True) reads it."""
+    line = F.col("line")
+    if at:
+        names = at.split(".")
+        line = F.concat(F.lit("".join(f"{{{json.dumps(n)}:" for n in names) + "["), line, F.lit("]" + "}" * len(names)))
+    json_lines(docs).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def header_fields(docs: DataFrame) -> DataFrame:
@@ -81,18 +86,53 @@ def read_jdbc(spark: SparkSession, url: str, query: str, id_field: str, **option
 
 
 def write_jdbc(docs: DataFrame, url: str, table: str, scope: str, collection: str, mode: str = "create", **options: str) -> None:
-    """Rows (scope, collection, id, document) in a table. create refuses a collection with rows; replace and merge write what the import gives of both."""
-    from ..operators.algebra import import_into
+    """Rows (scope, collection, id, document) in a table. create refuses a collection with rows; replace and merge (by id, the documents win) write over it.
 
-    key = {"scope": scope, "collection": collection}
+    All tasks write to a table beside it; then one transaction of the database deletes what is replaced of this scope and collection and inserts the new
+    rows. No other collection is read or written, and a failure leaves the table as it was. scope, collection and id are columns that the database can compare (VARCHAR).
+    """
+    if mode not in ("create", "replace", "merge"):
+        raise QueryError(f"Not an import mode: {mode}")
+    spark = docs.sparkSession
+    staged = f"{table}_{uuid.uuid4().hex[:12]}"
     new = json_lines(docs).select(F.lit(scope).alias("scope"), F.lit(collection).alias("collection"), "id", F.col("line").alias("document"))
-    reader = docs.sparkSession.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
-    old = reader.load()
-    own = (F.col("scope") == key["scope"]) & (F.col("collection") == key["collection"])
-    rows = import_into(old.where(own), new, "id", mode)
-    staged = old.where(~own).unionByName(rows)
-    staged.write.format("jdbc").option("url", url).option("dbtable", f"{table}_staged").options(**options).mode("overwrite").save()
-    docs.sparkSession.read.format("jdbc").option("url", url).option("dbtable", f"{table}_staged").options(**options).load().write.format("jdbc").option("url", url).option("dbtable", table).option("truncate", True).options(**options).mode("overwrite").save()
+    new.write.format("jdbc").option("url", url).option("dbtable", staged).option("createTableColumnTypes", "scope VARCHAR(256), collection VARCHAR(256), id VARCHAR(1024)").options(**options).save()
+    jvm = spark.sparkContext._jvm
+    properties = jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, str(v))
+    if "driver" in options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+    columns = ", ".join(json.dumps(c) for c in ("scope", "collection", "id", "document"))
+    own = '"scope" = ? AND "collection" = ?'
+    try:
+        connection.setAutoCommit(False)
+
+        def run(sql: str, *values: str):
+            statement = connection.prepareStatement(sql)
+            for k, v in enumerate(values, 1):
+                statement.setString(k, v)
+            return statement
+
+        if mode == "create":
+            found = run(f"SELECT count(*) FROM {table} WHERE {own}", scope, collection).executeQuery()
+            found.next()
+            if found.getLong(1):
+                raise QueryError("The target is not empty")
+        elif mode == "replace":
+            run(f"DELETE FROM {table} WHERE {own}", scope, collection).executeUpdate()
+        else:
+            run(f'DELETE FROM {table} WHERE {own} AND "id" IN (SELECT "id" FROM {staged})', scope, collection).executeUpdate()
+        run(f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {staged}").executeUpdate()
+        connection.commit()
+    except BaseException:
+        connection.rollback()
+        raise
+    finally:
+        connection.setAutoCommit(True)
+        run(f"DROP TABLE {staged}").executeUpdate()
+        connection.close()
 
 
 def line_digest(lines: DataFrame) -> DataFrame:

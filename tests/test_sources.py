@@ -29,7 +29,7 @@ def test_nested_equality(spark):
 def test_jdbc(spark, tmp_path):
     url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver", "pushDownPredicate": "false"}
     try:
-        spark.createDataFrame([("s", "other", "1", "x")], "scope string, collection string, id string, document string").write.format("jdbc").option("url", url).option("dbtable", "docs").options(**options).save()
+        spark.createDataFrame([("s", "other", "1", "x")], "scope string, collection string, id string, document string").write.format("jdbc").option("url", url).option("dbtable", "docs").option("createTableColumnTypes", "scope VARCHAR(50), collection VARCHAR(50), id VARCHAR(50)").options(**options).save()
     except Exception as e:
         pytest.skip(f"no embedded database: {str(e)[:80]}")
     docs = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, name string")
@@ -37,5 +37,16 @@ def test_jdbc(spark, tmp_path):
     with pytest.raises(QueryError):
         files.write_jdbc(docs, url, "docs", "s", "mine", "create", **options)
     files.write_jdbc(docs.where("id = '2'").withColumn("name", F.lit("c")), url, "docs", "s", "mine", "merge", **options)
+    with pytest.raises(Exception, match="wrong"):
+        files.write_jdbc(docs.withColumn("name", F.when(F.col("id") == "2", F.raise_error(F.lit("wrong"))).otherwise("z")), url, "docs", "s", "mine", "replace", **options)
     rows = files.read_jdbc(spark, url, "SELECT * FROM docs", "id", **options)
     assert {(r["collection"], r["id"], r["document"]) for r in rows.collect()} == {("other", "1", "x"), ("mine", "1", '{"id":"1","name":"a"}'), ("mine", "2", '{"id":"2","name":"c"}')}
+    files.write_jdbc(docs.where("id = '1'"), url, "docs", "s", "mine", "replace", **options)
+    assert {(r["collection"], r["id"]) for r in files.read_jdbc(spark, url, "SELECT * FROM docs", "id", **options).collect()} == {("other", "1"), ("mine", "1")}
+
+
+def test_ids_that_are_no_finite_numbers(spark):
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="not finite"):
+            files.to_documents(spark.createDataFrame([(bad,)], "key double"), "key").collect()
+    assert [r.id for r in files.to_documents(spark.createDataFrame([(2.0,)], "key double"), "key").collect()] == ["2"]

@@ -71,6 +71,27 @@ def test_nearest_rank_of_ties(spark):
     assert got == {"x": (1.0, 9.0), "y": (3.0, 3.0)}
 
 
+def test_nearest_rank_far_from_all_others(spark, monkeypatch):
+    """One value far away puts all others in one cell, which is cut again."""
+    monkeypatch.setattr(stats, "FEW", 5)
+    df = spark.range(3_000).select(F.lit("a").alias("g"), F.when(F.col("id") == 7, 1e12).otherwise(F.col("id") / 1000).alias("v"))
+    values = sorted(r.v for r in df.collect())
+    got = stats.nearest_rank(df, "g", "v", {"p1": 0.01, "p50": 0.5, "p95": 0.95, "all": 1.0}).first()
+    assert (got.p1, got.p50, got.p95, got["all"]) == (values[29], values[1499], values[2849], 1e12)
+
+
+def test_batches_replacements_and_reserved_fields(spark):
+    changes = spark.createDataFrame([(1, "a", 1, 1), (1, "b", 2, 2), (2, "c", 3, 3), (2, "c", 4, 4), (3, "", 5, 5), (4, "a", 6, 6)] + [(5, f"x{k}", 0, 10 + k) for k in range(21)], "batch int, id string, v int, p int")
+    judged = {r.batch: r.refused for r in lifecycle.judge_batches(changes, "batch", "id").collect()}
+    assert judged == {1: None, 2: "one id twice", 3: "without id", 4: None, 5: "too many"}
+    state = lifecycle.apply_batches(lifecycle.stored(rows(spark, [("c", 0)])), changes, "batch", "id", "p")
+    assert {(r.id, r.v) for r in state.collect()} == {("a", 6), ("b", 2), ("c", 0)}
+    replaced = lifecycle.replace_all(lifecycle.stored(rows(spark, [("a", 1), ("b", 2)])), rows(spark, [("b", 7), ("d", 8)]), "id", "2024-01-01 00:00:00")
+    assert {(r.id, r.v, r.deleted_at is None) for r in replaced.collect()} == {("a", 1, False), ("b", 7, True), ("d", 8, True)}
+    with pytest.raises(QueryError):
+        lifecycle.put_many(state, changes.withColumn(lifecycle.RESERVED_FIELD, F.lit(1)), "id", "p")
+
+
 def test_files(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     open(path, "w").write('key,name,note\n1,"a, b",x\n2,c\n')
