@@ -108,6 +108,39 @@ def erase(store: Store, names: list[str], now: str) -> list[dict]:
     return out
 
 
+def purge_scope(store: Store, names: list[str], now: str) -> list[dict]:
+    """Delete the collections of a scope for good, if nothing in them is live or may still be restored; all are looked at before any goes."""
+    for name in names:
+        if not store.head(name).revision:
+            raise QueryError(f"No such collection: {name}")
+        rows = store.read(name)
+        held = 0 if rows is None else rows.count() if "deleted_at" not in rows.columns else lifecycle.purge(rows.drop("bucket"), now).count()
+        if held:
+            raise QueryError(f"{name} holds {held} documents that are live or may be restored")
+    out = []
+    for name in names:
+        out.append({"collection": name, "purged": store.head(name).records})
+        store.drop(name)
+    return out
+
+
+def rewrite(store: Store, name: str, change) -> dict:
+    """Every document through change (a function of DataFrames that keeps ids, as for new metadata or keys), verified after: the same ids, each once, and the rows that were meant."""
+    before = store.read(name)
+    if before is None:
+        raise QueryError(f"No such collection: {name}")
+    wanted = change(before.drop("bucket"))
+    ids = algebra.difference(before.select("id"), wanted.select("id")).first()
+    if ids["only_left"] or ids["only_right"]:
+        raise QueryError(f"{name}: the rewrite changes ids")
+    head = store.head(name)
+    after = store.commit(name, lambda rows: change(rows.drop("bucket")), expected_revision=head.revision)
+    r = algebra.difference(wanted, store.read(name, head=after).select(*wanted.columns)).first()
+    if r["only_left"] or r["only_right"]:
+        raise QueryError(f"{name}: stored rows differ from the rewrite")
+    return {"collection": name, "revision": after.revision, "records": after.records}
+
+
 def inspect(store: Store, name: str) -> dict:
     head = store.head(name)
     return {"collection": name} | {k: getattr(head, k) for k in ("revision", "layout", "records", "tombstones")} | {"parts": len(head.parts)}
@@ -115,7 +148,7 @@ def inspect(store: Store, name: str) -> dict:
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__.split("\n")[0])
-    p.add_argument("command", choices=("export", "validate", "import", "emit", "migrate", "maintain", "erase", "inspect"))
+    p.add_argument("command", choices=("export", "validate", "import", "emit", "migrate", "maintain", "erase", "purge", "inspect"))
     p.add_argument("store")
     p.add_argument("name", nargs="+")
     p.add_argument("--path", default="")
@@ -132,7 +165,7 @@ def main(args: list[str] | None = None) -> None:
     now = a.now or str(spark.range(1).select(F.current_timestamp().cast("timestamp_ntz")).first()[0])
     done = {
         "export": lambda: export(store, name, a.path), "validate": lambda: files.validate_archive(spark, a.path, f"{name}.ndjson"), "import": lambda: import_archive(store, name, a.path, a.schema, a.mode, a.dry_run),
-        "emit": lambda: emit(store, name, a.path, a.kind), "migrate": lambda: migrate_layout(store, name, a.layout), "maintain": lambda: maintain(store, a.name, now), "erase": lambda: erase(store, a.name, now), "inspect": lambda: inspect(store, name),
+        "emit": lambda: emit(store, name, a.path, a.kind), "migrate": lambda: migrate_layout(store, name, a.layout), "maintain": lambda: maintain(store, a.name, now), "erase": lambda: erase(store, a.name, now), "purge": lambda: purge_scope(store, a.name, now), "inspect": lambda: inspect(store, name),
     }[a.command]()
     print(json.dumps(done))
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur import jobs
 from larkspur.plans.ast import QueryError
@@ -33,3 +34,10 @@ def test_archive_round_trip_and_maintenance(spark, tmp_path):
     assert jobs.maintain(other, ["docs"], "2024-03-01 00:00:00")[0]["purged"] == 3
     assert jobs.emit(store, "docs", str(tmp_path / "csv"), "csv")["records"] == 3
     assert sorted(spark.read.option("header", True).csv(str(tmp_path / "csv")).columns) == ["id", "n", "name"]
+    with pytest.raises(QueryError):
+        jobs.purge_scope(store, ["docs"], "2024-01-01 00:00:00")
+    upper = lambda rows: rows.withColumn("name", F.upper("name"))
+    assert jobs.rewrite(store, "docs", upper)["records"] == 3 and {r["name"] for r in jobs.live_rows(store, "docs").collect()} == {"A", "B", "C"}
+    with pytest.raises(QueryError):
+        jobs.rewrite(store, "docs", lambda rows: rows.withColumn("id", F.lit("1")))
+    assert jobs.purge_scope(other, ["docs"], "2024-03-01 00:00:00") == [{"collection": "docs", "purged": 0}] and other.read("docs") is None

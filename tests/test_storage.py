@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.collection import check_name
-from larkspur.operators import lifecycle, stats
+from larkspur.operators import index, lifecycle, stats
 from larkspur.plans.ast import QueryError
+from larkspur.plans.compile import Typed
+from larkspur.plans.planner import Index
 from larkspur.sources import files
 from larkspur.sources.storage import Store
 from larkspur.streaming import changefeed
@@ -46,6 +48,25 @@ def test_a_second_writer_computes_anew(spark, tmp_path):
     assert {r.id for r in store.read("c").collect()} == {"a", "b", "c"}
 
 
+def test_indexes_and_counts_follow_a_write(spark, tmp_path):
+    """A write that touches few ids reads postings and changed rows only, and gives what an index built anew gives."""
+    i = Index("by-v", ("v",))
+    store = Store(spark, str(tmp_path))
+    many = spark.range(400).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("int").alias("v"))
+    store.commit("c", lambda old: lifecycle.stored(many), layout="bucketed", indexes=(i,))
+    hit = rows(spark, [("3", 100), ("9999", 5)])
+    gone = rows(spark, [("8", 0)])
+    change = lambda old: lifecycle.delete(old.join(hit.select("id"), "id", "left_anti").unionByName(lifecycle.stored(hit).select(*old.columns)), gone, "id", "2024-01-01 00:00:00")
+    head = store.commit("c", change, touched=hit.select("id").unionByName(gone.select("id")), indexes=(i,))
+    assert (head.records, head.tombstones) == (401, 1) and len(head.written) == 2 and sum(n for n, _ in head.counts.values()) == 401
+    postings = {(r.id, r.v) for r in spark.read.parquet(head.indexes["by-v"]["path"]).collect()}
+    live = lifecycle.live(store.read("c"))
+    assert postings == {(r.id, r.v) for r in live.collect()} and ("3", 100) in postings and not any(k == "8" for k, _ in postings)
+    assert index.integrity(spark.read.parquet(head.indexes["by-v"]["path"]), live, i, Typed(live.schema)).first().asDict() == {"index_name": "by-v", "postings": 400, "missing": 0, "stale": 0, "twice": 0}
+    plan = store.collection("c", (i,)).where(lambda c: c.v.eq(100)).get()
+    assert [r.id for r in plan.collect()] == ["3"] and "by-v" in plan._jdf.queryExecution().executedPlan().toString() + str(plan.inputFiles())
+
+
 def test_names():
     for bad in ("", ".", "..", "a/b", "x" * 129):
         with pytest.raises(QueryError):
