@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jobs
 from .collection import Collection, validated
 from .functions.values import canonical_json, content_key, id_bucket, percent_change, seal, unseal, url_component
 from .operators import algebra, index, lifecycle, stats
 from .plans.ast import ANALYTIC, REFERENCE, Limits, Query, QueryError, from_json
 from .plans.planner import Index
 from .sources import files
-from .sources.storage import Store
+from .sources.storage import Conflict, Store
 from .streaming import changefeed
 
 NOW = "2024-06-01 00:00:00"
@@ -651,6 +652,92 @@ def layout_migrate(s, d):
     return store.read("suppliers").select("id", "s_name", "s_acctbal")
 
 
+def kept_customers(s, d, name: str, **more) -> tuple[Store, DataFrame]:
+    """A store with the customers as live rows."""
+    store = Store(s, work_folder(s, name))
+    rows = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_name", "c_nationkey", "c_acctbal")
+    store.commit("customers", lambda old: lifecycle.stored(rows), **more)
+    return store, rows
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS id, deleted_at FROM {STORED} WHERE deleted_at IS NULL OR purge_after > TIMESTAMP '1996-06-01'")
+def retention_maintain(s, d):
+    """Maintenance purges the deletions of a stored collection whose time is over."""
+    store = Store(s, work_folder(s, "maintain"))
+    rows = stored_orders(s, d).select(F.col("o_orderkey").cast("string").alias("id"), "deleted_at", "restore_until", "purge_after")
+    store.commit("orders", lambda old: rows)
+    jobs.maintain(store, ["orders"], "1996-06-01 00:00:00")
+    return store.read("orders").select("id", "deleted_at")
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, TIMESTAMP '{NOW}' AS deleted_at FROM customer")
+def scope_erase(s, d):
+    """All documents of a stored collection become deletions."""
+    store, _ = kept_customers(s, d, "erase")
+    jobs.erase(store, ["customers"], NOW)
+    return store.read("customers").select("id", "c_name", "deleted_at")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, upper(c_name) AS c_name, c_nationkey FROM customer")
+def rewrite_verified(s, d):
+    """Every stored document rewritten, and compared after."""
+    store, _ = kept_customers(s, d, "rewrite")
+    jobs.rewrite(store, "customers", lambda rows: rows.withColumn("c_name", F.upper("c_name")))
+    return jobs.live_rows(store, "customers").select("id", "c_name", "c_nationkey")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, CASE WHEN c_nationkey < 5 THEN 0 ELSE c_nationkey END AS c_nationkey FROM customer")
+def archive_import(s, d):
+    """An archive of some customers, with another nation, merged into a stored collection of all."""
+    store, rows = kept_customers(s, d, "import")
+    folder = work_folder(s, "archive")
+    files.export_archive(rows.where("c_nationkey < 5").select("id", "c_name", F.lit(0).cast("long").alias("c_nationkey"), "c_acctbal"), folder, "customers.ndjson")
+    jobs.import_archive(store, "customers", folder, "id string, c_name string, c_nationkey long, c_acctbal double", "merge")
+    return jobs.live_rows(store, "customers").select("id", "c_name", "c_nationkey")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_acctbal + 1 AS c_acctbal, true AS second_refused FROM customer")
+def conditional_rewrite(s, d):
+    """A write for a revision that is no longer the last is refused, and so the change is made once."""
+    store, _ = kept_customers(s, d, "conditional")
+    seen = store.head("customers").revision
+    change = lambda rows: rows.withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    store.commit("customers", change, expected_revision=seen)
+    refused = False
+    try:
+        store.commit("customers", change, expected_revision=seen)
+    except Conflict:
+        refused = True
+    return store.read("customers").select("id", "c_acctbal", F.lit(refused).alias("second_refused"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_nationkey, true AS refused FROM customer WHERE c_nationkey = 9")
+def index_configured(s, d):
+    """A writer whose indexes differ from the collection's is refused, so the index finds what is stored."""
+    i = Index("by-nation", ("c_nationkey",))
+    store, _ = kept_customers(s, d, "configured", indexes=(i,))
+    refused = False
+    try:
+        store.commit("customers", lambda old: old.limit(0))
+    except QueryError:
+        refused = True
+    return store.collection("customers", (i,), ANALYTIC).where(lambda c: c.c_nationkey.eq(9)).select("c_nationkey").get().withColumn("refused", F.lit(refused))
+
+
+@query("SELECT id, o_orderstatus, o_orderpriority, row_number() OVER (ORDER BY o_orderstatus, o_orderpriority, id) AS place FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus, o_orderpriority FROM orders)")
+def tuple_order(s, d):
+    """The place of every posting of a composite index: by its keys one after another, then by id."""
+    keys = ORDER_INDEXES[1].keys
+    return algebra.numbered(order_postings(s, d)["by-status-priority"].select("id", *keys), [F.col(k) for k in (*keys, "id")], work_folder(s, "tuples"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
+def deep_equality(s, d):
+    """An object equals another with the same members in any order."""
+    df = table(s, d, "customer").withColumn("place", F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")))
+    return Collection.typed("customers", df, "c_custkey", (), ANALYTIC, SAFE, integer_id=True).where(lambda c: c.place.eq({"segment": "BUILDING", "nation": 3})).select("c_name").get()
+
+
 # Logs and streams
 
 LATEST = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id"
