@@ -3,7 +3,7 @@
 1. Every page is parsed once to a tree of blocks (inline tags are text) and written as such: labels, parents and, for each run of text, its node
    and a hash of its path and words. A host's pages of one layout (the same containers near the top) are a group.
 2. Every page of a group is aligned with the group's pivot, the page of the least hash: simple tree matching finds a largest mapping of
-   equal labels that keeps order and descent. A text of the pivot that SAME of the other pages repeat at the node that maps to it is
+   equal labels that keeps order and descent. A text of the pivot that SAME of the other pages, two at least, repeat at the node that maps to it is
    template. All other text varies; by container it is weighed over all pages of the group.
 3. The wrapper of a group is the path of the deepest container that holds CONTENT_SHARE of the varying text, the template texts
    under it, and those containers named like boilerplate (adverts, comments, share bars) that recur in the group. A name alone
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Tables
 
-#: The share of a group's other pages that repeat a template text.
+#: The share of a group's other pages (two at least) that repeat a template text.
 SAME = 0.9
 CONTENT_SHARE = 0.8
 #: The share of a group's pages (two at least) that have a container named like boilerplate, for it to be dropped.
@@ -552,7 +552,7 @@ def wrappers(parsed: DataFrame, tables: Tables) -> DataFrame:
     chosen = chosen.select(*GROUP, "pages", F.col("c.path").alias("content"), F.col("c.varying").alias("varying"))
     inside = (F.col("path") == F.col("content")) | F.col("path").startswith(F.concat("content", F.lit("/")))
     decided = counts.where(F.col("kind").isin(TEMPLATE, NAMED)).join(chosen, GROUP).where(inside)
-    is_template = (F.col("kind") == TEMPLATE) & (F.col("n") >= F.lit(SAME) * F.col("pages"))
+    is_template = (F.col("kind") == TEMPLATE) & (F.col("n") >= F.greatest(F.lit(2), F.lit(SAME) * F.col("pages")))
     is_dropped = (F.col("kind") == NAMED) & (F.col("n") + F.col("more") >= F.greatest(F.lit(2), F.lit(RECURS) * (F.col("pages") + 1)))
     # A group has a row for each text of its pivot at most, and one for each path of a named container that recurs.
     found = decided.where(is_template | is_dropped).groupBy(*GROUP).agg(
