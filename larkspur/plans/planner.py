@@ -11,6 +11,10 @@ from .ast import NAME, REFERENCE, REFUSED_NAMES, Comparison, Limits, Query, Quer
 from .compile import Typed, Variants, order_columns, predicate
 
 
+#: Candidate ids that are looked up by name; more are joined.
+FEW_IDS = 1_000
+
+
 @dataclass(frozen=True)
 class Index:
     """mode equality: 1 to 4 key fields, each needs an eq; mode range: one field. include: fields that a covering read serves too."""
@@ -100,8 +104,8 @@ class Result:
 def execute(source: DataFrame, query: Query, form: Typed | Variants, indexes=(), limits: Limits = REFERENCE, available=None, coverings: dict[str, DataFrame] | None = None) -> Result:
     """source: live documents. coverings: tables of postings by index (id, keys, included fields), sorted by key.
 
-    An index that covers the query is read instead of the source. Of another one the postings in the compared range give the candidate ids, and the source is
-    joined with them. Where no table is given the source is filtered. The predicate is applied to what was found in any case.
+    An index that covers the query is read instead of the source. Of another one the postings in the compared range give the candidate ids, by which the
+    source is read. Where no table is given the source is filtered. The predicate is applied to what was found in any case.
     A scan of more documents than maxScanDocuments, and more index candidates than that, are errors and not cut off; the
     count is one more than the bound at most. Without a bound nothing is counted. Rows are put in order if an order or a limit is asked for.
     """
@@ -122,8 +126,7 @@ def execute(source: DataFrame, query: Query, form: Typed | Variants, indexes=(),
         what = "Query scan contains" if plan.kind == "scan" else "Index gives"
         raise QueryError(f"{what} {'more than ' if n > bound else ''}{bound} documents, above the configured maximum of {bound}")
     if postings is not None and not covering:
-        column = form.id_source or form.id_column
-        base = base.join(candidates(looked_at, form), column, "left_semi")
+        base = by_candidates(base, candidates(looked_at, form))
     out = base if query.where is None else base.where(predicate(query.where, reads))
     most = query.limit or limits.limit_default
     if query.order_by or most is not None:
@@ -139,6 +142,13 @@ def candidates(postings: DataFrame, form: Typed) -> DataFrame:
     return postings.select(F.col("id").cast(form.types[column]).alias(column))
 
 
+def by_candidates(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """The source's rows of the ids: up to FEW_IDS are a filter that the scan skips row groups by; more are joined."""
+    column = ids.columns[0]
+    few = [r[0] for r in ids.limit(FEW_IDS + 1).collect()]
+    return source.where(F.col(column).isin(few)) if len(few) <= FEW_IDS else source.join(ids, column, "left_semi")
+
+
 def project(df: DataFrame, query: Query, form: Typed | Variants) -> DataFrame:
     """id and the selected fields; all fields where none are selected. Fields that don't exist are left out."""
     id_ = form.column("id").alias("id")
