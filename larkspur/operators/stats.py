@@ -74,8 +74,12 @@ def unique_values(rows: DataFrame, field: str) -> DataFrame:
     return rows.where(F.col(field).isNotNull() & (F.col(field) != "")).select(F.col(field).alias("value")).distinct().orderBy("value")
 
 
+SMALL = ("few bytes", "few writes", "one writer", "many scans")
+LARGE = ("many bytes", "many writes", "several writers", "many point reads")
+
+
 def layout_advice(evidence: DataFrame) -> DataFrame:
-    """evidence plus layout (snapshot or bucketed), confidence and estimated_bytes: which of two layouts more signals speak for."""
+    """evidence plus layout (snapshot or bucketed), confidence, estimated_bytes and reasons: which of two layouts more signals speak for, and which do."""
     size = F.col("document_count") * F.col("average_document_bytes")
     # The thresholds of the signals.
     one = [size <= 256 * 1024, F.col("writes_per_minute") <= 1, F.col("concurrent_writers") <= 1, F.col("scan_ratio") >= 0.35]
@@ -87,5 +91,6 @@ def layout_advice(evidence: DataFrame) -> DataFrame:
             "layout": F.when(score(one) > score(two), "snapshot").otherwise("bucketed"),
             "confidence": F.when(gap >= 3, "high").when(gap >= 2, "medium").otherwise("low"),
             "estimated_bytes": size,
+            "reasons": F.array_compact(F.array(*[F.when(t, name) for tests, names in ((one, SMALL), (two, LARGE)) for t, name in zip(tests, names, strict=True)])),
         }
     )

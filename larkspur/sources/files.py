@@ -33,14 +33,17 @@ def read_json(spark: SparkSession, path: str, at: str = "", id_field: str = "id"
     return to_documents(data, id_field)
 
 
-def read_csv(spark: SparkSession, path: str, id_field: str = "id") -> DataFrame:
-    """Documents of a CSV file with a header of different, non-empty names. All values are strings; rows that are too short are filled with "", too long ones raise."""
-    header = spark.read.option("multiLine", True).option("escape", '"').csv(path).limit(1).collect()
+def read_csv(spark: SparkSession, path: str, id_field: str = "id", multi_line: bool = True) -> DataFrame:
+    """Documents of CSV files with one header of different, non-empty names. All values are strings; rows that are too short are filled with "", too long ones raise.
+
+    A file of a folder whose header differs raises. multi_line False: no value holds a line break, so that large files are split between tasks.
+    """
+    header = spark.read.option("multiLine", multi_line).option("escape", '"').csv(path).limit(1).collect()
     names = [c for c in header[0]] if header else []
     if not names or any(not n for n in names) or len(set(names)) != len(names):
         raise QueryError("A CSV file needs a header of different, non-empty names")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("__bad", T.StringType())])
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").schema(schema).csv(path)
+    rows = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").schema(schema).csv(path)
     cells = F.from_csv(F.col("__bad"), ", ".join(f"c{k} STRING" for k in range(len(names) + 1)), {"escape": '"'})
     extra = F.col("__bad").isNotNull() & cells[f"c{len(names)}"].isNotNull()
     first = F.when(extra, F.raise_error(F.lit("A CSV row is longer than the header"))).otherwise(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")))
@@ -81,8 +84,16 @@ def write_csv(docs: DataFrame, path: str) -> None:
     csv_rows(docs.select("id", *[F.col(f"`{c}`") for c in order])).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, id_field: str, **options: str) -> DataFrame:
-    return to_documents(spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load(), id_field)
+def read_jdbc(spark: SparkSession, url: str, query: str, id_field: str, split_by: str | None = None, splits: int = 8, **options: str) -> DataFrame:
+    """Documents of a query's rows. split_by: a number column by whose range the rows are read over `splits` connections; without it, over one."""
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    if split_by is None:
+        return to_documents(reader.option("query", query).load(), id_field)
+    low, high = reader.option("query", f'SELECT min("{split_by}") AS low, max("{split_by}") AS high FROM ({query}) q').load().first()
+    if low is None:
+        return to_documents(spark.read.format("jdbc").option("url", url).options(**options).option("query", query).load(), id_field)
+    split = {"dbtable": f"({query}) q", "partitionColumn": split_by, "lowerBound": str(low), "upperBound": str(high + 1), "numPartitions": str(splits)}
+    return to_documents(spark.read.format("jdbc").option("url", url).options(**options, **split).load(), id_field)
 
 
 def write_jdbc(docs: DataFrame, url: str, table: str, scope: str, collection: str, mode: str = "create", **options: str) -> None:

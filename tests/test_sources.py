@@ -45,6 +45,28 @@ def test_jdbc(spark, tmp_path):
     assert {(r["collection"], r["id"]) for r in files.read_jdbc(spark, url, "SELECT * FROM docs", "id", **options).collect()} == {("other", "1"), ("mine", "1")}
 
 
+def test_jdbc_over_several_connections(spark, tmp_path):
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver", "pushDownPredicate": "false"}
+    try:
+        spark.range(100).select("id", (F.col("id") * 2).alias("v")).coalesce(1).write.format("jdbc").option("url", url).option("dbtable", "numbers").options(**options).save()
+    except Exception as e:
+        pytest.skip(f"no embedded database: {str(e)[:80]}")
+    rows = files.read_jdbc(spark, url, 'SELECT "id", "v" FROM numbers', "id", split_by="v", splits=4, **options)
+    assert rows.rdd.getNumPartitions() == 4 and {(r.id, r.v) for r in rows.collect()} == {(str(k), 2 * k) for k in range(100)}
+    assert files.read_jdbc(spark, url, 'SELECT "id", "v" FROM numbers WHERE "v" < 0', "id", split_by="v", **options).count() == 0
+
+
+def test_csv_files_of_one_header(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.csv").write_text("id,name\n1,a\n")
+    (tmp_path / "c" / "b.csv").write_text("id,name\n2,b\n")
+    for lines in (True, False):
+        assert {tuple(r) for r in files.read_csv(spark, str(tmp_path / "c"), multi_line=lines).collect()} == {("1", "a"), ("2", "b")}
+    (tmp_path / "c" / "b.csv").write_text("id,other\n2,b\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_csv(spark, str(tmp_path / "c")).collect()
+
+
 def test_ids_that_are_no_finite_numbers(spark):
     for bad in (float("nan"), float("inf")):
         with pytest.raises(Exception, match="not finite"):
