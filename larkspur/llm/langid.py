@@ -51,7 +51,7 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, n
     mark = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     unit = F.shiftrightunsigned(mark, 11).cast("double") / float(2**53)
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.1 * share / r["count"]))])
-    chosen = unit < F.element_at(rate, F.col("lang"))
+    chosen = unit < F.try_element_at(rate, F.col("lang"))
     each = max(1, min(MOST_WINDOWS, int(train_docs / sum(min(share, r["count"]) for r in counts))))
     turn = F.explode(F.sequence(F.lit(0), F.lit(each - 1)))
     place = F.pmod(F.xxhash64(mark, "turn"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
