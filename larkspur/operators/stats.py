@@ -11,6 +11,8 @@ CELLS = 4096
 #: Values of a cell that are not cut again, and cuts at most (each divides the range by CELLS, and a double has 64 bits).
 FEW = 100_000
 ROUNDS = 8
+#: Wanted cells (a row for each group and share) that reach the driver.
+MOST_HELD = 10_000
 
 
 def bucket_stats(rows: DataFrame, id_: Column, size: Column, is_deleted: Column | None = None) -> DataFrame:
@@ -44,7 +46,14 @@ def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, floa
         running = counts.withColumn("to", F.sum("n").over(Window.partitionBy("wg", "k").orderBy("cell")))
         hit = running.where((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("n")))
         wanted = hit.select("wg", "k", "low", "high", (F.col("rank") - F.col("to") + F.col("n")).alias("rank"), "n")
-        if wanted.where((F.col("n") > FEW) & (F.col("low") < F.col("high"))).isEmpty():
+        # Cells of few groups go on as literals, so that no pass is made twice; those of many stay a table.
+        held = wanted.limit(MOST_HELD + 1).collect()
+        if len(held) <= MOST_HELD:
+            crowded = any(r["n"] > FEW and r["low"] < r["high"] for r in held)
+            wanted = F.broadcast(rows.sparkSession.createDataFrame(held, wanted.schema))
+        else:
+            crowded = not wanted.where((F.col("n") > FEW) & (F.col("low") < F.col("high"))).isEmpty()
+        if not crowded:
             break
         wanted = wanted.drop("n")
     wanted = wanted.drop("n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .ast import NAME, REFERENCE, REFUSED_NAMES, Comparison, Limits, Query, QueryError, check_fields, conjuncts, fields, validate
 from .compile import Typed, Variants, order_columns, predicate
 
-
+RANGES = frozenset(("eq", "lt", "lte", "gt", "gte"))
 #: Candidate ids that are looked up by name; more are joined.
 FEW_IDS = 1_000
 
@@ -38,6 +38,13 @@ class Index:
             if set(self.include) & set(self.keys):
                 raise QueryError("A covering index can't include its keys")
 
+    def serves(self, compared: list[Comparison]) -> tuple[Comparison, ...]:
+        """The comparisons that a lookup in this index uses; none if it can't answer them."""
+        if self.mode == "range":
+            return tuple(c for c in compared if c.field == self.keys[0] and c.operator in RANGES)
+        equal = {c.field: c for c in reversed(compared) if c.operator == "eq"}
+        return tuple(equal[k] for k in self.keys) if equal.keys() >= set(self.keys) else ()
+
 
 def check_indexes(indexes) -> tuple[Index, ...]:
     names = [i.name for i in indexes]
@@ -62,30 +69,23 @@ def _primitive(value) -> bool:
     return value is None or isinstance(value, (str, bool, int, float))
 
 
+def _names_one(where) -> bool:
+    return isinstance(where, Comparison) and (where.field, where.operator) == ("id", "eq") and isinstance(where.value, str) and where.value != ""
+
+
 def choose(query: Query, indexes=(), available=None) -> Plan:
     """By rule: a point if the whole predicate is id eq a non-empty string; else the first declared index whose keys are all compared; else a scan.
 
     available: names of the indexes that exist now; None: all. explain passes None, execution what the manifest holds.
     """
-    w = query.where
-    if isinstance(w, Comparison) and w.field == "id" and w.operator == "eq" and isinstance(w.value, str) and w.value:
+    if _names_one(query.where):
         return Plan("point")
-    flat = conjuncts(w)
-    if flat:
-        for index in indexes:
-            if index.mode == "equality":
-                used = tuple(next((c for c in flat if c.field == k and c.operator == "eq" and _primitive(c.value)), None) for k in index.keys)
-                fits = all(used)
-            else:
-                used = tuple(c for c in flat if c.field == index.keys[0] and c.operator in ("eq", "lt", "lte", "gt", "gte") and _primitive(c.value))
-                fits = bool(used)
-            if fits:
-                if available is not None and index.name not in available:
-                    return Plan("scan")
-                wanted = set(fields(query)) | set(query.select or ())
-                covering = query.select is not None and wanted <= {"id", *index.keys, *index.include}
-                return Plan("index", index, used, covering)
-    return Plan("scan")
+    compared = [c for c in conjuncts(query.where) or () if _primitive(c.value)]
+    index, used = next(((i, u) for i in indexes if (u := i.serves(compared))), (None, ()))
+    if index is None or not (available is None or index.name in available):
+        return Plan("scan")
+    held = {"id", *index.keys, *index.include}
+    return Plan("index", index, used, query.select is not None and held.issuperset(fields(query)) and held.issuperset(query.select))
 
 
 @dataclass
