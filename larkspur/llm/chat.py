@@ -90,21 +90,23 @@ def encode_turns(path: str, keep: list[str]):
 
 
 def format_chats(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """turns: conv_id, turn, role, text -> (conv_id, turn, role, formatted, ids, loss_mask, seq, token_start), a row for each turn.
+    """turns: conv_id, turn, role, text -> (conv_id, turn, role, formatted, ids, loss_mask, formatted_chars, seq, token_start), a row for each turn.
 
-    seq orders a conversation's rows: by turn (null first), and where turns tie by role and text, so repeated rows stay and
-    stand together. token_start is the place of the row's first token in its conversation. A null text or role is empty. Rows
+    formatted_chars counts the code points of formatted. seq orders a conversation's rows: by turn (null first), and where turns tie by role and ids, so repeated rows stay and
+    stand together; texts themselves are not shuffled for that. token_start is the place of the row's first token in its conversation. A null text or role is empty. Rows
     whose conv_id is null are one conversation. An empty table gives no rows; other columns are not read.
     """
     kind = dict(turns.dtypes)["conv_id"]
     given = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     coded = given.mapInArrow(encode_turns(vocabulary, ["conv_id", "turn", "role"]), f"conv_id {kind}, turn long, role string, formatted string, ids array<int>, loss_mask array<tinyint>")
-    by_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "formatted")
+    coded = coded.withColumn("formatted_chars", F.length("formatted").cast("long"))
+    by_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "ids")
     opens = F.col("seq") == 1
     begin = encoding(vocabulary)[1]["<s>"]
     placed = coded.withColumn("seq", F.row_number().over(by_turn).cast("long")).withColumns(
         {
             "formatted": F.when(opens, F.concat(F.lit("<s>"), "formatted")).otherwise(F.col("formatted")),
+            "formatted_chars": F.when(opens, F.col("formatted_chars") + len("<s>")).otherwise(F.col("formatted_chars")),
             "ids": F.when(opens, F.concat(F.array(F.lit(begin)), "ids")).otherwise(F.col("ids")),
             "loss_mask": F.when(opens, F.concat(F.array(F.lit(0).cast("tinyint")), "loss_mask")).otherwise(F.col("loss_mask")),
         }
@@ -184,7 +186,7 @@ def digest(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     count as such. Long conversations are read turn by turn. No rows in, no rows out; other columns are not read.
     """
     kind = dict(formatted.dtypes)["conv_id"]
-    ordered = formatted.select("conv_id", "seq", F.length("formatted").cast("long").alias("formatted_chars"), "ids", "loss_mask").repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq")
+    ordered = formatted.select("conv_id", "seq", "formatted_chars", "ids", "loss_mask").repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq")
     return ordered.mapInArrow(digest_turns(vocabulary), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
